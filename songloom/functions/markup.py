@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 from html.parser import HTMLParser
@@ -54,6 +55,7 @@ class _Reader(HTMLParser):
         self.records: list[_Record] = [] if each else [_Record()]
         # One entry per open element: tag, records that end with it, texts that end with it.
         self.open: list[tuple[str, list[_Record], list[tuple[_Record, str]]]] = []
+        self.open_tags: Counter[str] = Counter()
         self.live: list[_Record] = list(self.records)
         self.gathering: list[tuple[_Record, str]] = []
         self.hidden = 0
@@ -78,6 +80,7 @@ class _Reader(HTMLParser):
         self.gathering += begun
         self.hidden += tag in HIDDEN
         self.open.append((tag, records, begun))
+        self.open_tags[tag] += 1
         if tag in VOID:
             self._close()
 
@@ -87,12 +90,13 @@ class _Reader(HTMLParser):
             self._close()
 
     def handle_endtag(self, tag):
-        if any(entry[0] == tag for entry in reversed(self.open)):
+        if self.open_tags[tag]:
             while self._close() != tag:
                 pass
 
     def _close(self) -> str:
         tag, records, begun = self.open.pop()
+        self.open_tags[tag] -= 1
         self.hidden -= tag in HIDDEN
         self.live = [r for r in self.live if r not in records] if records else self.live
         self.gathering = [g for g in self.gathering if g not in begun] if begun else self.gathering

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.functions.strings import WHITESPACE, join_words
+from songloom.session import stored
 
 
 def bag_of_words(*texts: str) -> Column:
@@ -46,10 +47,10 @@ def _best(df: DataFrame, key: str, score: str, id_column: str, k: int) -> DataFr
 
 def _split_words(bags: DataFrame, hot: DataFrame, max_hot: int) -> DataFrame:
     """Per bag its rare words, its hot words and whether it has too many hot ones for sets."""
-    words = bags.select("bag", F.explode(_words("bag")).alias("word")).join(hot, "word", "left")
+    words = bags.select("*", F.explode(_words("bag")).alias("word")).join(hot, "word", "left")
     is_hot = F.coalesce("hot", F.lit(False))
     return (
-        words.groupBy("bag")
+        words.groupBy(*bags.columns)
         .agg(
             F.array_sort(F.collect_list(F.when(is_hot, F.col("word")))).alias("hot_words"),
             F.array_sort(F.collect_list(F.when(~is_hot, F.col("word")))).alias("rare_words"),
@@ -86,7 +87,8 @@ def search_hits(
 ) -> DataFrame:
     """Hits ``song_id, pos, id, shared`` and the entry's columns, for every song that has any.
 
-    ``songs``: ``song_id, artist, title``. ``entries``: ``id, artist_name, song_name, bpm``.
+    ``songs``: ``song_id, artist, title``. ``entries``: ``id, artist_name, song_name, bpm``. Bags are computed
+    at once and stored in the shared folder; the rest is lazy.
     """
     wanted = songs.select("song_id", bag_of_words("artist", "title").alias("bag")).where(F.col("bag") != "")
     offered = entries.select("id", bag_of_words("artist_name", "song_name").alias("bag")).where(F.col("bag") != "")
@@ -96,8 +98,9 @@ def search_hits(
     )
     frequency = first_ids.select(F.explode(_words("bag")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     hot = frequency.where(F.col("n") > hot_df).select("word", F.lit(True).alias("hot"))
-    song_bags = _split_words(wanted.select("bag").distinct(), hot, max_hot)
-    entry_bags = _split_words(first_ids, hot, max_hot).join(first_ids, "bag")
+    # Both are used twice below and small against the tables they come from: computed once.
+    song_bags = stored(_split_words(wanted.select("bag").distinct(), hot, max_hot), "song-bags")
+    entry_bags = stored(_split_words(first_ids, hot, max_hot), "entry-bags")
 
     # Bags that meet by a word. A pair that shares several words is kept at one of them only.
     asked = _index_rows(song_bags, (F.col("long"), ~F.col("long"))).select(

@@ -209,15 +209,14 @@ def encoded_windows(
     coded = whole.select(*keys, "at", _codes(F.col("piece"), _code_table(vocab)).alias("_codes"))
     last = F.least(F.size("_codes") - length, F.lit(size)) - 1
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
-    cut = F.transform(
-        starts,
-        lambda i: F.struct(
-            (F.col("at") + i).alias("start"),
-            F.slice("_codes", i + 1, F.lit(length)).alias("codes"),
-            F.get("_codes", i + length).alias("label"),
-        ),
+    # Generation and slicing are one code-generated stage, which does not copy the codes per window.
+    cut = coded.select("*", F.explode(starts).alias("_i"))
+    return cut.select(
+        *keys,
+        (F.col("at") + F.col("_i")).alias("start"),
+        F.slice("_codes", F.col("_i") + 1, F.lit(length)).alias("codes"),
+        F.get("_codes", F.col("_i") + length).alias("label"),
     )
-    return coded.select(*keys, F.inline(cut))
 
 
 def one_hot(code: Column, size: int | Column) -> Column:

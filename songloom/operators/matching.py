@@ -74,18 +74,22 @@ def first_per_bpm(pairs: DataFrame) -> DataFrame:
     """Near hits with the same song and tempo text reduced to the first one.
 
     ``artist_hit`` tells of that first hit whether it holds the artist. All intermediate results are
-    numbers, which keeps this a hash aggregation.
+    numbers, which keeps this a hash aggregation. Grouping by a struct asks for a shuffle of its own: the
+    rows as the join on ``song_id`` leaves them would else be grouped in place, and adaptive execution
+    could not split the join at a song with very many hits.
     """
     near, artist = is_near(), has_artist()
     return (
-        pairs.groupBy("song_id", "bpm")
+        pairs.groupBy(F.struct("song_id", "bpm").alias("_key"))
         .agg(
             F.min(F.when(is_perfect(), F.col("pos"))).alias("perfect_pos"),
             F.min(F.when(near, F.col("pos"))).alias("pos"),
             F.min(F.when(near & artist, F.col("pos"))).alias("_artist_pos"),
         )
-        .withColumn("artist_hit", F.coalesce(F.col("_artist_pos") == F.col("pos"), F.lit(False)))
-        .drop("_artist_pos")
+        .select(
+            "_key.song_id", "_key.bpm", "perfect_pos", "pos",
+            F.coalesce(F.col("_artist_pos") == F.col("pos"), F.lit(False)).alias("artist_hit"),
+        )
     )
 
 
@@ -154,14 +158,14 @@ def decide(firsts: DataFrame) -> DataFrame:
 
 
 def match_bpm(songs: DataFrame, hits: DataFrame, symmetric: bool = False) -> DataFrame:
-    """Tempo of every song; songs without hits are part of the left join and get no match.
+    """Tempo of every song; songs without hits get no match.
 
     ``songs`` holds ``song_id, artist, title``, one row per song; ``hits`` holds ``song_id, pos,
     artist_name, song_name, bpm``.
     """
     pairs = join_hits(
-        songs.select("song_id", "artist", "title"),
-        hits.select("song_id", "pos", "artist_name", "song_name", "bpm"),
-        "left",
+        songs.select("song_id", "artist", "title"), hits.select("song_id", "pos", "artist_name", "song_name", "bpm")
     )
-    return decide(first_per_bpm(normalised(pairs, symmetric)))
+    firsts = first_per_bpm(normalised(pairs, symmetric))
+    # Every song adds an empty row, in place of an outer join, which cannot be split at a song's hits.
+    return decide(firsts.unionByName(songs.select("song_id"), allowMissingColumns=True))

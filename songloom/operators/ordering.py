@@ -61,8 +61,8 @@ def first_rows(df: DataFrame, order: list[str | Column], n: int = 1) -> DataFram
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Different rows of the left table that are not in the right one."""
-    return left.subtract(right)
+    """Different rows of the left table that are not in the right one; both lose copies before they meet."""
+    return left.distinct().subtract(right.distinct())
 
 
 def append_rows(stored: DataFrame, new: DataFrame, order: str = "row_idx") -> DataFrame:

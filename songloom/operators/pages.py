@@ -42,11 +42,12 @@ def _texts(html: Column, nodes: tuple[Node, ...], names: list[str], each: Node |
     """Array of one struct of texts per record. Only the page text goes to the Python worker."""
     kind = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
+    @F.pandas_udf(kind)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             yield pages.map(lambda page: [{n: r.get(n) for n in names} for r in node_texts(page, nodes, each)])
 
-    return F.pandas_udf(read, kind, F.PandasUDFType.SCALAR_ITER)(html)
+    return read(html)
 
 
 def page_fields(pages: DataFrame, nodes: tuple[Node, ...] = SONG_PAGE) -> DataFrame:

@@ -292,19 +292,22 @@ BODIES = {
         w AS (SELECT artist, b + i AS start, substr(t, i::INT + 1, 40) AS sequence, substr(t, i::INT + 41, 1) AS next_char
               FROM parts, unnest(range(0, length(t) - 40, 3)) u(i))
         SELECT artist, next_char, count(*) AS n, sum(start)::BIGINT AS starts,
-               min(sequence) AS first_sequence, max(sequence) AS last_sequence
+               sum(unicode(substr(sequence, 1, 1)))::BIGINT AS points_0,
+               sum(unicode(substr(sequence, 20, 1)))::BIGINT AS points_19,
+               sum(unicode(substr(sequence, 40, 1)))::BIGINT AS points_39
         FROM w GROUP BY artist, next_char""",
     "txt_vocab": "SELECT ch FROM vocab",
     "txt_vocab_index": "SELECT ch, idx FROM vocab",
     "txt_encode": """
         , placed AS (SELECT doc_id, origin + i AS place, idx FROM blocks, unnest(range(0, least(length(t), 600))) u(i)
                      JOIN vocab ON vocab.ch = substr(t, i::INT + 1, 1)),
-        starts AS (SELECT doc_id, i AS start FROM low, unnest(range(0, length(t) - 40, 3)) u(i)),
-        sums AS (SELECT s.doc_id, s.start, sum(p.idx * (j + 1)) AS weighted
-                 FROM starts s, unnest(range(0, 40)) u(j)
-                 JOIN placed p ON p.doc_id = s.doc_id AND p.place = s.start + j GROUP BY s.doc_id, s.start)
-        SELECT l.idx::INT AS label, count(*) AS n, sum(weighted)::BIGINT AS weighted_codes, sum(start)::BIGINT AS starts
-        FROM sums s JOIN placed l ON l.doc_id = s.doc_id AND l.place = s.start + 40 GROUP BY l.idx""",
+        summed AS (SELECT doc_id, place, idx,
+                          sum(idx) OVER w AS codes, sum(idx * place) OVER w AS placed_codes,
+                          count(*) OVER w AS n
+                   FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING))
+        SELECT idx::INT AS label, count(*) AS n, sum(placed_codes - (place - 41) * codes)::BIGINT AS weighted_codes,
+               sum(place - 40)::BIGINT AS starts
+        FROM summed WHERE n = 40 AND (place - 40) % 3 = 0 GROUP BY idx""",
     "txt_onehot": """
         SELECT v.ch, v.n, place::INT AS place, v.idx = place AS hot
         FROM (SELECT ch, count(*) AS n, any_value(idx) AS idx FROM chars JOIN vocab USING (ch) GROUP BY ch) v,

@@ -525,8 +525,7 @@ def txt_windows_corpus(spark, sf_dir):
     return corpus.corpus_windows(songs, "artist").groupBy("artist", "next_char").agg(
         F.count("*").alias("n"),
         F.sum("start").alias("starts"),
-        F.min("sequence").alias("first_sequence"),
-        F.max("sequence").alias("last_sequence"),
+        *[F.sum(F.ascii(strings.piece(F.col("sequence"), at, 1))).alias(f"points_{at}") for at in (0, 19, 39)],
     )
 
 
@@ -545,9 +544,7 @@ def txt_encode(spark, sf_dir):
     """Windows as codes, summed up per label; places in the window weigh differently."""
     docs = views.spread_documents(spark, sf_dir, "doc_id", "text")
     coded = corpus.encoded_windows(docs, ["doc_id"], corpus.vocabulary(docs))
-    weighted = F.aggregate(
-        F.transform("codes", lambda c, i: (c * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b
-    )
+    weighted = sum((F.get("codes", F.lit(at)) * (at + 1) for at in range(40)), F.lit(0))
     return coded.groupBy("label").agg(
         F.count("*").alias("n"), F.sum(weighted).alias("weighted_codes"), F.sum("start").alias("starts")
     )

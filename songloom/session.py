@@ -47,6 +47,16 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Compute once and read back from a table in the shared folder, for results used several times.
+
+    Unlike a cache this outlives executors; unlike a checkpoint it is read by column.
+    """
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spread a scan with fewer splits than cores over all cores.
 
