@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.functions.strings import WHITESPACE, join_words
+from songloom.operators.equijoin import splittable_join
 from songloom.session import stored
 
 
@@ -128,14 +129,16 @@ def search_hits(
     hot_song_bags = song_bags.where(short_hot).select(F.col("bag").alias("song_bag"), "hot_words", hot_bag)
     asked_sets = hot_song_bags.select("hot_bag", "hot_words").distinct().select("hot_bag", F.inline(_sets("hot_words")))
     by_set = _best(
-        asked_sets.join(in_set.select("words", "id"), "words").groupBy("hot_bag", "id").agg(F.max("n").alias("shared")),
+        splittable_join(asked_sets, in_set.select("words", "id"), ["words"]).groupBy("hot_bag", "id").agg(F.max("n").alias("shared")),
         "hot_bag", "shared", "id", k,
     )
-    by_set = hot_song_bags.select("song_bag", "hot_bag").join(by_set, "hot_bag").select("song_bag", "id", "shared")
+    by_set = splittable_join(
+        hot_song_bags.select("song_bag", "hot_bag"), by_set.select("hot_bag", "id", "shared"), ["hot_bag"]
+    ).select("song_bag", "id", "shared")
 
     merged = by_word.unionByName(by_set).groupBy("song_bag", "id").agg(F.max("shared").alias("shared"))
     ranked = _best(merged, "song_bag", "shared", "id", k).select(
         F.col("song_bag").alias("bag"), (F.col("_rank") - 1).alias("pos"), "id", "shared"
     )
     # Entry columns are fetched per bag of songs, before the rows are multiplied by the songs of a bag.
-    return wanted.join(ranked.join(entries, "id"), "bag").drop("bag")
+    return splittable_join(wanted, ranked.join(entries, "id"), ["bag"]).drop("bag")

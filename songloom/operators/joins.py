@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from songloom.constants import UNFINISHED
 from songloom.functions.strings import without
+from songloom.operators.equijoin import splittable_join
 from songloom.operators.ordering import keep_first
 
 
@@ -21,11 +22,10 @@ def join_by_name(songs: DataFrame, bpms: DataFrame, order: str = "row_idx") -> D
     Tempo tables write titles without commas, so commas do not count on either side. Songs of one very
     frequent name are split by adaptive execution; the other side has one row per name.
     """
-    key = without("Songs", ",")
-    tempos = keep_first(bpms.withColumn("_title", key), ["Rappers", "_title"], [order])
-    tempos = tempos.select(F.col("Rappers").alias("_artist"), "_title", F.col("BPM").alias("bpm"))
-    matched = (F.col("artist") == F.col("_artist")) & (without("title", ",") == F.col("_title"))
-    return songs.join(tempos, matched, "left").drop("_artist", "_title")
+    keys = ["artist", "_title"]
+    named = bpms.select(order, F.col("Rappers").alias("artist"), without("Songs", ",").alias("_title"), F.col("BPM").alias("bpm"))
+    tempos = keep_first(named, keys, [order]).drop(order)
+    return splittable_join(songs.withColumn("_title", without("title", ",")), tempos, keys, "left").drop("_title")
 
 
 def join_hits(songs: DataFrame, hits: DataFrame, how: str = "inner") -> DataFrame:
@@ -56,7 +56,7 @@ def worklist(
 
 def songs_of_selected(songs: DataFrame, selected: DataFrame, column: str = "artist") -> DataFrame:
     """Songs whose artist is in the table of selected artists."""
-    return songs.join(selected.select(column).distinct(), column, "left_semi")
+    return splittable_join(songs, selected.select(column).distinct(), [column], "left_semi")
 
 
 def song_counts_of_selected(songs: DataFrame, selected: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from songloom.constants import BOOKMARKED, NON_SECTION_COLUMNS, UNFINISHED
 from songloom.functions.coercion import bpm_number
+from songloom.operators.equijoin import splittable_join
 
 
 def section_columns(wide: DataFrame, others: Iterable[str] = NON_SECTION_COLUMNS) -> list[str]:
@@ -41,7 +42,7 @@ def of_section_wide(wide: DataFrame, section: str) -> DataFrame:
 def of_artists(df: DataFrame, artists: Iterable[str] | DataFrame, column: str = "artist") -> DataFrame:
     """Rows of the selected artists, given as a list or as a table with that column."""
     if isinstance(artists, DataFrame):
-        return df.join(artists.select(column).distinct(), column, "left_semi")
+        return splittable_join(df, artists.select(column).distinct(), [column], "left_semi")
     return df.where(F.col(column).isin(list(artists)))
 
 

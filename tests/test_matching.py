@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from conftest import large_tables
 from songloom.operators.blocking import search_hits
 from songloom.operators.matching import match_bpm
 
@@ -99,21 +100,7 @@ def test_song_with_most_hits_can_be_split(spark):
         "if(id % 3 = 0, 7, id % 50) as song_id", "cast(id as int) as pos", "concat('a', id % 50) as artist_name",
         "'t' as song_name", "cast(60 + id % 100 as string) as bpm",
     )
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
+    with large_tables(spark):
         matched = match_bpm(songs, hits)
         assert len(matched.collect()) == 50
         assert "skew=true" in matched._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from songloom.operators import joins, ordering
+from conftest import large_tables
+from songloom.operators import joins, ordering, selection
+from songloom.operators.equijoin import splittable_join
 
 
 def test_row_index_is_dense_for_any_partitioning(spark):
@@ -86,3 +88,24 @@ def test_song_counts(spark):
     selected = spark.createDataFrame([("a",), ("a",), ("z",)], "artist string")
     got = {r.artist: r.songs for r in joins.song_counts_of_selected(songs, selected).collect()}
     assert got == {"a": 2, "z": 0}
+
+
+def test_joins_can_be_split_at_a_hot_key(spark):
+    """A third of the songs has one artist and title."""
+    songs = spark.range(60_000).selectExpr(
+        "id as row_idx", "if(id % 3 = 0, 'hot', concat('a', id % 500)) as artist",
+        "if(id % 3 = 0, 'hot', concat('t', id % 500)) as title",
+    ).repartition(8)
+    names = songs.select("artist", "title").distinct()
+    bpms = names.selectExpr("artist as Rappers", "title as Songs", "'90' as BPM", "0L as row_idx")
+    with large_tables(spark):
+        for joined in (joins.join_by_name(songs, bpms), joins.songs_of_selected(songs, names), selection.of_artists(songs, names)):
+            assert len(joined.collect()) == 60_000
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_keys_meet_nothing(spark):
+    left = spark.createDataFrame([(None,), ("a",)], "k string")
+    right = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
+    rows = splittable_join(left, right, ["k"], "left").collect()
+    assert {(r.k, r.v) for r in rows} == {(None, None), ("a", 2)}
