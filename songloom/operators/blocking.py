@@ -123,9 +123,12 @@ def search_hits(
     short_hot = (~F.col("long")) & (F.size("hot_words") > 0)
     hot_bag = F.array_join("hot_words", " ").alias("hot_bag")
     hot_ids = _smallest_ids(entry_bags.where(short_hot).select(hot_bag, F.explode("ids").alias("id")), "hot_bag", k)
-    in_set = _smallest_ids(
-        hot_ids.withColumn("_hot", _words("hot_bag")).select("id", F.inline(_sets("_hot"))), "words", k
+    with_sets = (
+        hot_ids.groupBy("hot_bag").agg(F.collect_list("id").alias("ids"))
+        .select("ids", _words("hot_bag").alias("_hot"))
+        .select("ids", F.inline(_sets("_hot")))
     )
+    in_set = _smallest_ids(with_sets.select("words", F.explode("ids").alias("id")), "words", k)
     hot_song_bags = song_bags.where(short_hot).select(F.col("bag").alias("song_bag"), "hot_words", hot_bag)
     asked_sets = hot_song_bags.select("hot_bag", "hot_words").distinct().select("hot_bag", F.inline(_sets("hot_words")))
     by_set = _best(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.constants import EXAMPLE_TEMPLATE, PROMPT_TEMPLATE, TOKEN_CAP, WINDOW_LENGTH, WINDOW_STEP
-from songloom.functions.strings import WHITESPACE, characters, fill, strip
+from songloom.functions.strings import WHITESPACE, characters, fill
 
 # Longest run of window starts handled in one array; longer texts become several rows.
 SEGMENT = 12_288
@@ -25,10 +25,7 @@ def training_examples(qa: DataFrame) -> DataFrame:
 
 def cap_tokens(df: DataFrame, text: str = "text", cap: int = TOKEN_CAP) -> DataFrame:
     """Cut texts after ``cap`` whitespace tokens; ``n_tokens`` counts before the cut."""
-    stripped = strip(text)
-    tokens = F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, rf"{WHITESPACE}+")
-    )
+    tokens = F.filter(F.split(text, rf"{WHITESPACE}+"), lambda t: t != "")
     split = df.withColumn("_tokens", tokens)
     return split.select(
         *[c for c in df.columns if c != text],

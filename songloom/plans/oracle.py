@@ -301,13 +301,13 @@ BODIES = {
     "txt_encode": """
         , placed AS (SELECT doc_id, origin + i AS place, idx FROM blocks, unnest(range(0, least(length(t), 600))) u(i)
                      JOIN vocab ON vocab.ch = substr(t, i::INT + 1, 1)),
-        summed AS (SELECT doc_id, place, idx,
-                          sum(idx) OVER w AS codes, sum(idx * place) OVER w AS placed_codes,
-                          count(*) OVER w AS n
-                   FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING))
-        SELECT idx::INT AS label, count(*) AS n, sum(placed_codes - (place - 41) * codes)::BIGINT AS weighted_codes,
-               sum(place - 40)::BIGINT AS starts
-        FROM summed WHERE n = 40 AND (place - 40) % 3 = 0 GROUP BY idx""",
+        seen AS (SELECT place, idx, lag(idx, 40) OVER w AS c0, lag(idx, 39) OVER w AS c1, lag(idx, 27) OVER w AS c13,
+                        lag(idx, 14) OVER w AS c26, lag(idx, 1) OVER w AS c39
+                 FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place))
+        SELECT idx::INT AS label, count(*) AS n, sum(place - 40)::BIGINT AS starts, sum(c0)::BIGINT AS codes_0,
+               sum(c1)::BIGINT AS codes_1, sum(c13)::BIGINT AS codes_13, sum(c26)::BIGINT AS codes_26,
+               sum(c39)::BIGINT AS codes_39
+        FROM seen WHERE place >= 40 AND (place - 40) % 3 = 0 GROUP BY idx""",
     "txt_onehot": """
         SELECT v.ch, v.n, place::INT AS place, v.idx = place AS hot
         FROM (SELECT ch, count(*) AS n, any_value(idx) AS idx FROM chars JOIN vocab USING (ch) GROUP BY ch) v,
@@ -336,6 +336,13 @@ BODIES = {
     "web_result_count": """
         SELECT page_id, expected, count(href) AS found, count(href) >= expected AS complete
         FROM headers LEFT JOIN anchors USING (page_id) GROUP BY page_id, expected""",
+    "web_hits": r"""
+        , items AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS names
+                    FROM marked_pages),
+        named AS (SELECT page_id, i AS pos, trim(regexp_replace(
+                      regexp_replace(replace(names[i + 1], '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS name
+                  FROM items, unnest(range(0, len(names))) u(i))
+        SELECT page_id, pos, lower(name) AS artist_name, lower(name) AS song_name, name AS bpm FROM named""",
     "inc_worklist": "SELECT artist FROM remaining",
     "inc_stage": """
         , work AS (SELECT 0::BIGINT AS link_work, (SELECT count(*) FROM (

@@ -418,7 +418,7 @@ def str_lower(spark, sf_dir):
 @query
 def str_strip(spark, sf_dir):
     padded = F.concat(F.lit("\t   \x1f"), "text", F.lit(" \x85\n　"))
-    return views.documents(spark, sf_dir).select("doc_id", strings.strip(padded).alias("text"))
+    return views.spread_documents(spark, sf_dir, "doc_id", "text").select("doc_id", strings.strip(padded).alias("text"))
 
 
 @query
@@ -458,7 +458,7 @@ def str_slice(spark, sf_dir):
 @query
 def str_chars(spark, sf_dir):
     chars = strings.characters("text")
-    return views.documents(spark, sf_dir).select("doc_id", F.explode(chars).alias("ch")).groupBy("doc_id", "ch").agg(
+    return views.spread_documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(chars).alias("ch")).groupBy("doc_id", "ch").agg(
         F.count("*").alias("n")
     )
 
@@ -510,7 +510,7 @@ def txt_sft_format(spark, sf_dir):
 
 @query
 def txt_token_cap(spark, sf_dir):
-    examples = corpus.training_examples(corpus.prompts(views.catalogue(spark, sf_dir)))
+    examples = corpus.training_examples(corpus.prompts(views.spread_catalogue(spark, sf_dir)))
     return corpus.cap_tokens(examples)
 
 
@@ -541,12 +541,13 @@ def txt_vocab_index(spark, sf_dir):
 
 @query
 def txt_encode(spark, sf_dir):
-    """Windows as codes, summed up per label; places in the window weigh differently."""
+    """Windows as codes, summed up per label at some places of the window."""
     docs = views.spread_documents(spark, sf_dir, "doc_id", "text")
     coded = corpus.encoded_windows(docs, ["doc_id"], corpus.vocabulary(docs))
-    weighted = sum((F.get("codes", F.lit(at)) * (at + 1) for at in range(40)), F.lit(0))
     return coded.groupBy("label").agg(
-        F.count("*").alias("n"), F.sum(weighted).alias("weighted_codes"), F.sum("start").alias("starts")
+        F.count("*").alias("n"),
+        F.sum("start").alias("starts"),
+        *[F.sum(F.get("codes", F.lit(at))).alias(f"codes_{at}") for at in (0, 1, 13, 26, 39)],
     )
 
 

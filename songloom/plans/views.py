@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from songloom.constants import BOOKMARKED, NOT_SEARCHED, UNFINISHED
 from songloom.functions.markup import Node
+from songloom.operators.corpus import next_char_distribution
+from songloom.operators.selection import unpivot_sections
 from songloom.session import spread
 
 SECTIONS = ("en", "fr", "de", "es")
@@ -30,15 +32,16 @@ def spread_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFra
     return spread(documents(spark, sf_dir).select(*columns))
 
 
-def catalogue_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalogue_wide(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Wide catalogue: a document is a song, its source the artist, its language the section it has."""
+    source = documents(spark, sf_dir) if source is None else source
     number = (60 + F.col("n_chars") % 140).cast("string")
     case = F.col("doc_id") % 5
     bpm = (
         F.when(case == 0, BOOKMARKED).when(case == 1, NOT_SEARCHED).when(case == 2, F.lit(None).cast("string"))
         .when(case == 3, F.concat(number, F.lit(".7"))).otherwise(number)
     )
-    return documents(spark, sf_dir).select(
+    return source.select(
         F.col("doc_id").alias("row_idx"),
         F.col("source").alias("artist"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"),
@@ -47,11 +50,14 @@ def catalogue_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalogue(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Long catalogue."""
-    from songloom.operators.selection import unpivot_sections
+    return unpivot_sections(catalogue_wide(spark, sf_dir, source), ["row_idx", "artist", "title", "bpm"])
 
-    return unpivot_sections(catalogue_wide(spark, sf_dir), ["row_idx", "artist", "title", "bpm"])
+
+def spread_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long catalogue for work that is heavy per text."""
+    return catalogue(spark, sf_dir, spread(documents(spark, sf_dir)))
 
 
 def bpms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +144,4 @@ def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from songloom.operators.corpus import next_char_distribution
-
     return next_char_distribution(spread_documents(spark, sf_dir, "text"))
