@@ -22,7 +22,7 @@ def bpm_number(col: Column | str) -> Column:
 
     The pattern keeps out Java spellings such as ``1d`` that a plain cast would take.
     """
-    col = F.col(col) if isinstance(col, str) else col
+    col = (F.col(col) if isinstance(col, str) else col).cast("string")
     number = F.when(col.rlike(NUMBER), F.trim(col).try_cast("double"))
     return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
 

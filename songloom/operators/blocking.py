@@ -84,7 +84,7 @@ def _sets(bag: str) -> Column:
 
 
 def search_hits(
-    songs: DataFrame, entries: DataFrame, k: int = 10, hot_df: int = 100, max_hot: int = 8
+    songs: DataFrame, entries: DataFrame, k: int = 10, hot_df: int = 100, max_hot: int = 10
 ) -> DataFrame:
     """Hits ``song_id, pos, id, shared`` and the entry's columns, for every song that has any.
 

@@ -18,15 +18,15 @@ def with_row_index(df: DataFrame, keys: list[str | Column], name: str = "row_idx
     shared_dir(df.sparkSession)
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).checkpoint()
     # A generated id holds the partition in its upper bits and the place in it in its lower 33 bits.
-    marked = placed.withColumn("_id", F.monotonically_increasing_id()).select(
-        "*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_place")
+    marked = placed.withColumn("_generated", F.monotonically_increasing_id()).select(
+        "*", F.shiftright("_generated", 33).alias("_range"), F.col("_generated").bitwiseAND((1 << 33) - 1).alias("_within")
     )
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_rows"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    sizes = marked.groupBy("_range").agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     # One row per partition: the size of the broadcast side is bound by the number of partitions.
-    numbered = marked.join(F.broadcast(offsets), "_part")
-    return numbered.withColumn(name, F.col("_offset") + F.col("_place")).drop("_id", "_part", "_place", "_offset")
+    numbered = marked.join(F.broadcast(offsets), "_range")
+    return numbered.withColumn(name, F.col("_offset") + F.col("_within")).drop("_generated", "_range", "_within", "_offset")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

@@ -35,7 +35,10 @@ def of_section(long: DataFrame, section: str) -> DataFrame:
 
 
 def of_section_wide(wide: DataFrame, section: str) -> DataFrame:
-    """Rows of a wide catalogue that have the section, tempo coerced to BIGINT."""
+    """Rows of a wide catalogue that have the section, tempo coerced to BIGINT.
+
+    Of the sections only this one is read, where unpivoting first would read all of them.
+    """
     return wide.where(F.col(f"`{section}`").isNotNull()).withColumn("bpm", bpm_number("bpm"))
 
 
@@ -110,15 +113,25 @@ def check_range(df: DataFrame, low: int, high: int) -> None:
 
 
 def select_slice(
-    long: DataFrame,
+    catalogue: DataFrame,
     section: str,
     artists: Iterable[str] | None = None,
     bpm_range: tuple[int, int] | None = None,
     known_only: bool = False,
 ) -> DataFrame:
-    """Selection by artist, by tempo or by both, with its parameters checked first."""
-    check_section(long, section)
-    chosen = of_section(with_known_bpm(long) if known_only else long, section)
+    """Selection by artist, by tempo or by both, with its parameters checked first.
+
+    The catalogue may be long or wide; the result is long.
+    """
+    if "section" in catalogue.columns:
+        check_section(catalogue, section)
+        chosen = of_section(with_known_bpm(catalogue) if known_only else catalogue, section)
+    else:
+        sections = section_columns(catalogue)
+        if section not in sections:
+            raise ValueError(f"no such section: {section}")
+        chosen = of_section_wide(with_known_bpm(catalogue) if known_only else catalogue, section)
+        chosen = chosen.select("artist", "title", "bpm", F.lit(section).alias("section"), F.col(f"`{section}`").alias("text"))
     if artists is not None:
         artists = list(artists)
         check_artists(chosen, artists)

@@ -166,7 +166,9 @@ BODIES = {
     "src_csv_idx": "SELECT row_idx, Link, Artist FROM links",
     "src_lines": "SELECT title AS artist, count(*) AS n FROM songs GROUP BY title",
     "src_corpus": """
-        SELECT sum(length(lower(text)) + 1)::BIGINT AS chars, count(*) AS lines FROM documents""",
+        SELECT source AS artist, sum(length(t) + 1)::BIGINT AS chars,
+               ceil((sum(length(t) + 1) - 40) / 3)::BIGINT AS windows
+        FROM low GROUP BY source""",
     "src_default": """
         SELECT artist AS Rappers, replace(title, ',', '') AS Songs, 'YEEHAW' AS BPM FROM songs""",
     "src_seed_nulls": """

@@ -58,10 +58,11 @@ def src_corpus(spark, sf_dir):
     views.documents(spark, sf_dir).select("source", F.regexp_replace("text", "\n", " ").alias("value")).repartition(
         "source"
     ).write.partitionBy("source").text(path)
-    whole = text.read_corpus(spark, path)
-    return whole.agg(
-        F.sum(F.length("text")).alias("chars"),
-        F.sum(F.length(F.regexp_replace("text", "[^\n]", ""))).alias("lines"),
+    lines = text.read_corpus_lines(spark, path)
+    windows = corpus.corpus_windows(lines, "path").groupBy("path").agg(F.count("*").alias("windows"))
+    whole = text.read_corpus(spark, path).select("path", F.length("text").alias("chars"))
+    return whole.join(windows, "path").groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("artist")).agg(
+        F.sum("chars").alias("chars"), F.sum("windows").alias("windows")
     )
 
 

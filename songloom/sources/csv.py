@@ -22,14 +22,17 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV without type inference: columns are text unless a schema says otherwise.
 
-    ``row_order`` adds a column that grows in file order; it has gaps (see ``with_row_index``). A file
-    with line breaks inside fields is one task, so keep large exports in many files.
+    ``row_order`` adds a column to sort by, file name and then place in the file; ``with_row_index`` makes
+    positions of it. A file with line breaks inside fields is one task, so keep large exports in many files.
     """
     reader = spark.read.options(**_FORMAT, multiLine="true", inferSchema="false")
     if schema is not None:
         reader = reader.schema(schema)
-    df = null_tokens(reader.csv(path), tokens)
-    return df.withColumn(row_order, F.monotonically_increasing_id()) if row_order else df
+    df = reader.csv(path)
+    if row_order:
+        place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("place"))
+        df = df.select("*", place.alias(row_order))
+    return null_tokens(df, tokens)
 
 
 def read_csv_indexed(spark: SparkSession, path: str | list[str], index: str = "row_idx") -> DataFrame:

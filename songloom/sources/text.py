@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songloom.functions.strings import strip
+from songloom.operators.ordering import with_row_index
 
 
 def read_lines(spark: SparkSession, path: str | list[str], name: str = "artist") -> DataFrame:
@@ -14,8 +15,35 @@ def read_lines(spark: SparkSession, path: str | list[str], name: str = "artist")
 
 
 def read_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: its path and its whole text in lower case, line ends as ``\\n``."""
+    """One row per file: its path and its whole text in lower case, line ends as ``\\n``.
+
+    For files that fit in memory; see ``read_corpus_lines`` for larger ones.
+    """
     return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"),
+        F.col("_metadata.file_path").alias("path"),
         F.lower(F.regexp_replace("value", r"\r\n?", "\n")).alias("text"),
     )
+
+
+def read_corpus_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files of any size in rows ``path, row_idx, text``, which joined in order are the text of the file.
+
+    Each row is a line in lower case with its line end, ready for ``corpus_windows(df, "path")``. A file is
+    read in many splits. The last line has a line end only if the bytes of the lines add up to it.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_line"),
+        "value",
+    )
+    numbered = with_row_index(lines, ["path", "_split", "_line"])
+    ends = numbered.groupBy("path").agg(
+        F.max("row_idx").alias("row_idx"),
+        (F.sum(F.octet_length("value") + 1) == F.max("_size")).alias("_ended"),
+    )
+    line = F.regexp_replace(F.regexp_replace("value", r"\r\z", ""), "\r", "\n")
+    end = F.when(F.coalesce("_ended", F.lit(True)), "\n").otherwise("")
+    joined = numbered.join(ends, ["path", "row_idx"], "left")
+    return joined.select("path", "row_idx", F.lower(F.concat(line, end)).alias("text"))

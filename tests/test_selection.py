@@ -84,6 +84,20 @@ def test_select_by_artist_and_range(long):
     assert empty.isEmpty()
 
 
+def test_wide_catalogue_gives_the_same_slice_and_reads_one_section(spark, wide, tmp_path):
+    from_long = selection.select_slice(selection.unpivot_sections(wide, ["artist", "title", "bpm", "row_idx"]), "hook", ["A", "B"])
+    wide.drop("row_idx").write.parquet(str(tmp_path / "wide"))
+    stored = spark.read.parquet(str(tmp_path / "wide"))
+    from_wide = selection.select_slice(stored, "hook", ["A", "B"])
+    columns = ["artist", "title", "bpm", "section", "text"]
+    assert sorted(map(tuple, from_wide.collect())) == sorted(map(tuple, from_long.select(columns).collect()))
+    plan = from_wide._jdf.queryExecution().executedPlan().toString()
+    assert "verse" not in plan.split("ReadSchema")[1] and "IsNotNull(hook)" in plan
+    with pytest.raises(ValueError, match="no such section"):
+        selection.select_slice(stored, "bpm")
+    assert selection.select_slice(stored, "hook", known_only=True).count() == 2
+
+
 def test_known_only_keeps_nulls_as_zero(long):
     kept = selection.select_slice(long, "hook", known_only=True)
     assert sorted((r.row_idx, r.bpm) for r in kept.collect()) == [(0, 120), (3, 0)]

@@ -32,6 +32,22 @@ def test_lines_and_corpus(spark, tmp_path):
     assert text.read_corpus(spark, str(path)).first().text == "  ä b  \nc\n\n"
 
 
+@pytest.mark.parametrize("content", ["A\r\nbÄ\n\nc", "a\n", "a", "\n\n", "x\ry\nz\r\n", "line\n" * 5000 + "end"])
+def test_corpus_lines_are_the_whole_file(spark, tmp_path, content):
+    (tmp_path / "1.txt").write_bytes(content.encode())
+    (tmp_path / "2.txt").write_bytes(b"other\n" * 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = text.read_corpus_lines(spark, str(tmp_path)).orderBy("row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = {r.path.rsplit("/", 1)[1]: r.text for r in text.read_corpus(spark, str(tmp_path)).collect()}
+    for path in {r.path for r in rows}:
+        assert "".join(r.text for r in rows if r.path == path) == whole[path.rsplit("/", 1)[1]]
+    assert [r.row_idx for r in rows] == list(range(len(rows)))
+    assert len({r.path for r in rows}) == 2
+
+
 def test_default_table(spark, tmp_path):
     default = tables.empty_table(spark, tables.BPMS_SCHEMA)
     missing = tables.read_or_default(lambda: spark.read.parquet(str(tmp_path / "none")), default)
