@@ -371,7 +371,7 @@ BODIES = {
     "inc_dedup_stream": "SELECT DISTINCT Link, Artist FROM links",
     "training_text": """
         SELECT '### Question: Write a en like ' || artist || chr(10) || ' ### Answer: ' || text AS text
-        FROM english WHERE artist IN ('src1', 'src7')""",
+        FROM english WHERE artist IN ('src1', 'src7') AND bpm BETWEEN 0 AND 150""",
 }
 
 ORACLE_SQL = {name: sql(body) for name, body in BODIES.items()}

@@ -704,7 +704,6 @@ def inc_dedup_stream(spark, sf_dir):
 
 @query
 def training_text(spark, sf_dir):
-    """Flagship: section and artists chosen, tempo coerced, turned into training text."""
+    """Flagship: section, artists and tempo range chosen, turned into training text."""
     chosen = selection.of_artists(_english(spark, sf_dir), ["src1", "src7"])
-    examples = corpus.training_examples(corpus.prompts(chosen.where(F.col("bpm") >= 0)))
-    return examples
+    return corpus.training_examples(corpus.prompts(selection.in_bpm_range(chosen, 0, 150)))
