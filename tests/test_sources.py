@@ -2,6 +2,9 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from songloom import session
+from songloom.operators.corpus import prompts, training_examples
+from songloom.operators.ordering import with_row_index
+from songloom.operators.selection import select_slice, unpivot_sections
 from songloom.sources import csv, tables, text
 
 
@@ -97,3 +100,15 @@ def test_shared_folder_comes_from_the_session():
         session.shared_dir(FakeSession("yarn"))
     alone = FakeSession("local[2]")
     assert session.shared_dir(alone) == session.shared_dir(alone) == alone.folder
+
+
+def test_positions_of_csv_rows_follow_the_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("artist,title,bpm,hook\nA,one,90,la\nB,two,,\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("artist,title,bpm,hook\n" + "A,three,100,na\n" * 3, encoding="utf-8")
+    wide = with_row_index(csv.read_csv(spark, str(tmp_path), row_order="place"), ["place"]).drop("place")
+    assert [(r.row_idx, r.title) for r in wide.orderBy("row_idx").collect()] == [
+        (0, "one"), (1, "two"), (2, "three"), (3, "three"), (4, "three"),
+    ]
+    songs = unpivot_sections(wide, ["row_idx", "artist", "title", "bpm"])
+    examples = training_examples(prompts(select_slice(songs, "hook", artists=["A"], bpm_range=(95, 100))))
+    assert {r.text for r in examples.collect()} == {"### Question: Write a hook like A\n ### Answer: na"}
