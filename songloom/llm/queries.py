@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from songloom.llm.exact_dedup import exact_groups
+from songloom.llm.langid import identify
 from songloom.llm.mixing import taken_words
 from songloom.llm.packing import pack
 from songloom.llm.tokens import count_tokens
+from songloom.llm.toxicity import toxicity
 
 #: Weights that the mixing contract gives to the sources in turn.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -33,16 +35,28 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = identify(table(spark, folder, "documents"), reject=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cube_mixing, op3_exact_dedup, op6_token_counts, op8_bin_slack_packing)
+    f.__name__: f
+    for f in (
+        op1_cube_mixing, op3_exact_dedup, op4_language_id, op6_token_counts, op7_toxicity, op8_bin_slack_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
