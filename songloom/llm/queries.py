@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from songloom.llm.exact_dedup import exact_groups
 from songloom.llm.langid import identify
 from songloom.llm.mixing import taken_words
+from songloom.llm.near_vectors import near_links
+from songloom.llm.ngram_join import near_groups
 from songloom.llm.packing import pack
+from songloom.llm.substrings import remove_repeats
 from songloom.llm.tokens import count_tokens
 from songloom.llm.toxicity import toxicity
 
@@ -31,6 +34,10 @@ def op1_cube_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken_words(table(spark, folder, "documents"), WEIGHTS).drop("source")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
@@ -40,6 +47,10 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -52,10 +63,15 @@ def op8_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_links(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_cube_mixing, op3_exact_dedup, op4_language_id, op6_token_counts, op7_toxicity, op8_bin_slack_packing,
+        op1_cube_mixing, op2_substring_dedup, op3_exact_dedup, op4_language_id, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity,
+        op8_bin_slack_packing, op10_near_vectors,
     )
 }
 
@@ -69,4 +85,58 @@ ORACLE_SQL: dict[str, str] = {
             doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op5_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') AS w FROM documents
+        ), g AS (
+            SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), i -> array_to_string(w[i:i + 4], ' '))) AS g
+            FROM w WHERE len(w) > 0
+        ), c AS (
+            SELECT md5(array_to_string(list_sort(g), '|')) AS c, any_value(g) AS g, count(*) AS n, min(doc_id) AS first FROM g GROUP BY 1
+        ), s AS (SELECT c, n, len(g) AS size, unnest(g) AS s FROM c),
+        p AS (
+            SELECT a.c AS a, b.c AS b FROM s a JOIN s b ON a.s = b.s AND a.c <> b.c
+            GROUP BY a.c, b.c, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9
+        ), reach AS (
+            SELECT c AS a, c AS b FROM c UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a
+        ), k AS (
+            SELECT reach.a AS c, min(o.first) AS class_id FROM reach JOIN c o ON o.c = reach.b GROUP BY 1
+        ), l AS (
+            SELECT c.c, c.n - 1 + coalesce(sum(o.n), 0) AS n_links
+            FROM c LEFT JOIN p ON p.a = c.c LEFT JOIN c o ON o.c = p.b GROUP BY c.c, c.n
+        ), d AS (
+            SELECT doc_id, md5(array_to_string(list_sort(g), '|')) AS c FROM g
+        )
+        SELECT documents.doc_id, coalesce(class_id, documents.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+            coalesce(class_id, documents.doc_id) = documents.doc_id AS kept
+        FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN k USING (c) LEFT JOIN l USING (c)
+    """,
+    "op10_near_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+        ), n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+        FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
+    "op2_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') AS w FROM documents
+        ), p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM w WHERE len(w) >= 20),
+        g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM p),
+        r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM r),
+        l AS (SELECT doc_id, w, list(i) AS gone FROM w LEFT JOIN gone USING (doc_id) GROUP BY doc_id, w),
+        k AS (
+            SELECT doc_id, len(w) AS n, list_filter(list_transform(w, (x, i) -> CASE WHEN list_contains(gone, i) THEN NULL ELSE x END), x -> x IS NOT NULL) AS kept
+            FROM l
+        )
+        SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+    """,
 }
