@@ -12,6 +12,7 @@ from songloom.llm.mixing import taken_words
 from songloom.llm.near_vectors import near_links
 from songloom.llm.ngram_join import near_groups
 from songloom.llm.packing import pack
+from songloom.llm.page_text import extract_text
 from songloom.llm.substrings import remove_repeats
 from songloom.llm.tokens import count_tokens
 from songloom.llm.toxicity import toxicity
@@ -63,6 +64,10 @@ def op8_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
 def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_links(table(spark, folder, "embeddings"))
 
@@ -71,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cube_mixing, op2_substring_dedup, op3_exact_dedup, op4_language_id, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity,
-        op8_bin_slack_packing, op10_near_vectors,
+        op8_bin_slack_packing, op9_wrapper_induction, op10_near_vectors,
     )
 }
 
