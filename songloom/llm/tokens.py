@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from songloom.llm.common import coded, ragged, steps, sums, words_of
 
-#: Pieces that a worker remembers at most; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers before it drops those not met since half as many ago.
+REMEMBERED = 600_000
 #: Bytes of pieces that are encoded in one call.
 CALL_BYTES = 1 << 16
 
@@ -41,6 +41,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
         self.known: dict[str, np.ndarray | int] = {}
+        self.older: dict[str, np.ndarray | int] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -53,10 +54,15 @@ class Pieces:
 
     def learn(self, pieces: list[str], keep) -> None:
         """Encode those of ``pieces`` not yet known, in calls of about equal bytes; ``keep`` makes the value of the ids."""
-        fresh = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = pieces
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        fresh = []
+        for piece in pieces:
+            if piece not in self.known:
+                if piece in self.older:
+                    self.known[piece] = self.older[piece]
+                else:
+                    fresh.append(piece)
         group: list[str] = []
         held = 0
         for piece in fresh:
@@ -72,6 +78,16 @@ class Pieces:
             self.known.update(zip(group, map(keep, self._encode_many(group))))
 
 
+_OF_WORKER: dict[tuple[str, str], Pieces] = {}
+
+
+def pieces_of(path: str, use: str) -> Pieces:
+    """The memory of this worker process for a tokenizer and a use; tasks that follow each other share it."""
+    if (path, use) not in _OF_WORKER:
+        _OF_WORKER[path, use] = Pieces(path)
+    return _OF_WORKER[path, use]
+
+
 def count_tokens(
     docs: DataFrame, tokenizer: str, limit: int = 2048, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -82,7 +98,7 @@ def count_tokens(
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        pieces = Pieces(tokenizer)
+        pieces = pieces_of(tokenizer, "lengths")
         for batch in steps(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "")
             words, starts = words_of(texts)
