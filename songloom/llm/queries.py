@@ -92,9 +92,9 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op5_ngram_jaccard_join": """
         WITH RECURSIVE w AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') AS w FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents
         ), g AS (
-            SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), i -> array_to_string(w[i:i + 4], ' '))) AS g
+            SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
             FROM w WHERE len(w) > 0
         ), c AS (
             SELECT md5(array_to_string(list_sort(g), '|')) AS c, any_value(g) AS g, count(*) AS n, min(doc_id) AS first FROM g GROUP BY 1
@@ -120,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), p AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
             WHERE list_cosine_similarity(a.e, b.e) >= 0.9
@@ -132,14 +132,14 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op2_substring_dedup": """
         WITH w AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') AS w FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents
         ), p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM w WHERE len(w) >= 20),
         g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM p),
         r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
         gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM r),
         l AS (SELECT doc_id, w, list(i) AS gone FROM w LEFT JOIN gone USING (doc_id) GROUP BY doc_id, w),
         k AS (
-            SELECT doc_id, len(w) AS n, list_filter(list_transform(w, (x, i) -> CASE WHEN list_contains(gone, i) THEN NULL ELSE x END), x -> x IS NOT NULL) AS kept
+            SELECT doc_id, len(w) AS n, list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains(gone, i) THEN NULL ELSE x END), lambda x: x IS NOT NULL) AS kept
             FROM l
         )
         SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
