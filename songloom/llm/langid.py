@@ -57,7 +57,7 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_counts(rows: DataFrame) -> DataFrame:
-    """``lang, calibrates, buckets, counts`` per labelled row, made in tasks."""
+    """``lang, calibrates, buckets, counts`` per labelled row, made in tasks; the last two as bytes, for the driver's sake."""
 
     def run(batches):
         for batch in steps(batches, "text"):
@@ -73,11 +73,11 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
                 keys.append(np.flatnonzero(total).astype(np.int32))
                 counts.append(total[keys[-1]].astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("calibrates"), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
+                [batch.column("lang"), batch.column("calibrates"), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())],
                 ["lang", "calibrates", "buckets", "counts"],
             )
 
-    return rows.mapInArrow(run, "lang string, calibrates boolean, buckets array<int>, counts array<float>")
+    return rows.mapInArrow(run, "lang string, calibrates boolean, buckets binary, counts binary")
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -133,9 +133,9 @@ def train(labelled: DataFrame, precision: float = 0.99, max_rows: int = TRAIN_RO
     langs = sorted({r["lang"] for r in sample})
     data = []
     for r in sample:
-        counts = np.array(r["counts"], float)
+        counts = np.frombuffer(r["counts"], np.float32)
         if len(counts):
-            data.append((np.array(r["buckets"]), counts / counts.sum(), langs.index(r["lang"]), r["calibrates"]))
+            data.append((np.frombuffer(r["buckets"], np.int32), counts / counts.sum(), langs.index(r["lang"]), r["calibrates"]))
     if not data:
         return {"langs": [], "scores": np.zeros((BUCKETS, 1)), "bias": np.zeros(1), "temperature": 1.0, "accept": 1.0}
     learned = [d[:3] for d in data if not d[3]] or [d[:3] for d in data]
