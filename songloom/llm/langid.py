@@ -125,11 +125,13 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, precision: float) -> tupl
 
 def train(labelled: DataFrame, precision: float = 0.99, max_rows: int = TRAIN_ROWS) -> dict:
     """Model from ``id, text, lang`` rows. Takes ``max_rows`` rows at most, chosen by a hash of the id and text."""
+    by_hash = F.xxhash64("id", F.length("text"))
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = rows.orderBy(F.xxhash64("id", F.length("text")), "id").limit(max_rows)
-    sample = _gram_counts(
-        chosen.select("text", "lang", (F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(5)) == 0).alias("calibrates"))
-    ).collect()
+    # The rows with the smallest hashes: numbers alone are sorted, and texts stay where they are.
+    least = rows.select(by_hash.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    chosen = rows.where(by_hash <= F.lit(least if least is not None else 0))
+    calibrates = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(5)) == 0
+    sample = _gram_counts(chosen.select("text", "lang", calibrates.alias("calibrates"))).limit(max_rows).collect()
     langs = sorted({r["lang"] for r in sample})
     data = []
     for r in sample:

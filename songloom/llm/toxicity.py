@@ -95,12 +95,12 @@ def sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _sample(rows: DataFrame) -> list:
+def _sample(rows: DataFrame, most: int) -> list:
     def run(batches):
         for batch in steps(batches, "text"):
             yield sampled(batch)
 
-    return rows.mapInArrow(run, "toxic int, words long, distinct string, votes array<long>").collect()
+    return rows.mapInArrow(run, "toxic int, words long, distinct string, votes array<long>").limit(most).collect()
 
 
 def standing_out(entries: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     chosen = marked.where(F.col("toxic") == 1).orderBy(by_hash, "id").limit(toxic_rows).unionByName(
         marked.where(F.col("toxic") == 0).orderBy(by_hash, "id").limit(clean_rows)
     )
-    sample = _sample(docs.join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).select("toxic", "text"))
+    sample = _sample(docs.join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).select("toxic", "text"), toxic_rows + clean_rows)
     return fit(sample)
 
 
