@@ -118,15 +118,44 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, digest binary, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``rep, grams`` (the set as bytes) of ``rep, text``."""
+#: Bits of the filter that tells which documents' sets may be wanted: a fixed 2 MB, whatever the data.
+FILTER_BITS = 1 << 24
+
+
+def _filter_bit(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def _filter_of(wanted: DataFrame) -> bytes:
+    """Bit set of the hashed ids. A full filter lets through more texts; which sets are used is decided by digests."""
+    bit = wanted.select(_filter_bit("id").alias("bit"))
+    words = bit.groupBy(F.floor(F.col("bit") / 32768).alias("word")).agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("long")).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for row in words.collect():  # 512 rows of 4 KB at most
+        out[row["word"] * 4096 : row["word"] * 4096 + len(row["bits"])] = row["bits"]
+    return bytes(out)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rep, grams`` (digest and set as bytes), once per class, of the documents whose ids may be wanted.
+
+    Texts are filtered where they are read, so only the sets that are needed are shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches):
-        for batch in steps(batches, "text"):
-            grams = [s.astype("<u8").tobytes() for s in gram_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(grams, pa.binary())], ["rep", "grams"])
+        import hashlib
 
-    return docs.mapInArrow(run, "rep binary, grams binary")
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            part = batch.filter(pa.array(bits[batch.column("bit").to_numpy()]))
+            for step in steps(iter([part]), "text"):
+                grams = [s.astype("<u8").tobytes() for s in gram_sets(step.column("text"))]
+                reps = [hashlib.blake2b(g, digest_size=16).digest() for g in grams]
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.binary()), pa.array(grams, pa.binary())], ["rep", "grams"])
+
+    made = docs.select("text", _filter_bit("id").alias("bit")).mapInArrow(run, "rep binary, grams binary")
+    return made.dropDuplicates(["rep"])
 
 
 def compare_block(table: pa.Table, threshold: float) -> list[pa.RecordBatch]:
@@ -211,14 +240,7 @@ def near_classes(
     wanted = classes.join(leaders, "rep").select("rep", "weight", "leaders", "id")
     wanted = stored(wanted, "wanted")
 
-    # One text per class that has to be compared; of rows with its id the one whose set it is.
-    texts = splittable_join(narrow, wanted.where("id is not null").select("id", "rep").distinct(), ["id"])
-    lost = wanted.where("id is null").select("rep")
-    sets = _sets(texts.select("rep", "text"))
-    if not lost.isEmpty():
-        nameless = _sets(_signed_text(narrow.where("id is null"), bands, rows).join(lost, "rep"))
-        sets = sets.unionByName(nameless)
-    sets = _verified(sets)
+    sets = _sets(narrow, wanted)
     placed = splittable_join(members, wanted.select("rep", "weight", "leaders"), ["rep"])
     placed = splittable_join(placed, sizes, ["leader"])
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -238,35 +260,6 @@ def near_classes(
     )
 
 
-def _signed_text(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``rep, text`` for rows without id, found by their digest."""
-
-    def run(batches):
-        import hashlib
-
-        for batch in steps(batches, "text"):
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in gram_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("text")], ["rep", "text"])
-
-    return docs.select("text").mapInArrow(run, "rep binary, text string")
-
-
-def _verified(sets: DataFrame) -> DataFrame:
-    """Sets whose digest is the class's, one per class: an id may have several texts."""
-
-    def run(batches):
-        import hashlib
-
-        for batch in batches:
-            right = [
-                hashlib.blake2b(g, digest_size=16).digest() == r
-                for g, r in zip(batch.column("grams").to_pylist(), batch.column("rep").to_pylist())
-            ]
-            yield batch.filter(pa.array(right, pa.bool_()))
-
-    return sets.mapInArrow(run, "rep binary, grams binary").dropDuplicates(["rep"])
-
-
 def near_groups(
     docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
