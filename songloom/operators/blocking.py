@@ -1,4 +1,6 @@
-"""Search hits for songs: the ``k`` catalogue entries sharing most words with artist and title.
+"""A page of search hits for songs: the ``k`` catalogue entries sharing most words with artist and title.
+
+A page is what a search site shows; matching (``matching.match_catalogue``) looks at all entries instead.
 
 Hits are ranked by the number of different shared words, then by entry id; entries that share no word
 are no hits. The result is exact whatever the word frequencies:
@@ -84,13 +86,14 @@ def _sets(bag: str) -> Column:
 
 
 def search_hits(
-    songs: DataFrame, entries: DataFrame, k: int = 10, hot_df: int = 100, max_hot: int = 10
+    songs: DataFrame, entries: DataFrame, page_size: int, hot_df: int = 100, max_hot: int = 10
 ) -> DataFrame:
     """Hits ``song_id, pos, id, shared`` and the entry's columns, for every song that has any.
 
     ``songs``: ``song_id, artist, title``. ``entries``: ``id, artist_name, song_name, bpm``. Bags are computed
     at once and stored in the shared folder; the rest is lazy.
     """
+    k = page_size
     wanted = songs.select("song_id", bag_of_words("artist", "title").alias("bag")).where(F.col("bag") != "")
     offered = entries.select("id", bag_of_words("artist_name", "song_name").alias("bag")).where(F.col("bag") != "")
     first_ids = (

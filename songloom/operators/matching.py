@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from songloom.constants import BOOKMARKED
 from songloom.functions.coercion import strict_int
 from songloom.functions.strings import contains, strip, without
+from songloom.operators.equijoin import splittable_join
+from songloom.operators.holding import holders
 from songloom.operators.joins import join_hits
 
 
@@ -96,14 +98,13 @@ def first_per_bpm(pairs: DataFrame) -> DataFrame:
 def reduce_by_artist(firsts: DataFrame) -> DataFrame:
     """Distinct near tempos per song that are left after the artist rule.
 
-    The number per song is an aggregate joined back, not a window over the song's rows.
+    A song has one row per different tempo, so its rows are few and come together as an array.
     """
     near = firsts.where(F.col("pos").isNotNull())
-    counts = near.groupBy("song_id").agg(F.count("*").alias("_n"))
-    return (
-        near.join(counts, "song_id").where((F.col("_n") < 3) | F.col("artist_hit"))
-        .select("song_id", "bpm", "pos", "artist_hit")
-    )
+    row = F.struct("bpm", "pos", "artist_hit")
+    kept = near.groupBy("song_id").agg(F.collect_list(row).alias("_rows"))
+    left = F.when(F.size("_rows") < 3, F.col("_rows")).otherwise(F.filter("_rows", lambda r: r["artist_hit"]))
+    return kept.select("song_id", F.inline(left))
 
 
 def decide(firsts: DataFrame) -> DataFrame:
@@ -169,3 +170,82 @@ def match_bpm(songs: DataFrame, hits: DataFrame, symmetric: bool = False) -> Dat
     firsts = first_per_bpm(normalised(pairs, symmetric))
     # Every song adds an empty row, in place of an outer join, which cannot be split at a song's hits.
     return decide(firsts.unionByName(songs.select("song_id"), allowMissingColumns=True))
+
+
+# Matching against a whole catalogue: every entry is a hit, in order of ids.
+
+
+def _queries_of(songs: DataFrame) -> DataFrame:
+    named = songs.select("song_id", "artist", "title", F.lit(None).cast("string").alias("artist_name"), F.lit(None).cast("string").alias("song_name"))
+    return normalised(named).select("song_id", "qa", "qt")
+
+
+def _offers_of(entries: DataFrame) -> DataFrame:
+    named = entries.select("id", "bpm", "artist_name", "song_name", F.lit(None).cast("string").alias("artist"), F.lit(None).cast("string").alias("title"))
+    return normalised(named).select("id", "bpm", "ha", "ht", "ht_raw")
+
+
+def near_terms(songs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Which entries hold which title or artist: ``kind, term, id, bpm``, once per different term, not per song."""
+    asked, offered = _queries_of(songs), _offers_of(entries)
+    found = _held(asked, "qt", offered, "ht", "title").unionByName(_held(asked, "qa", offered, "ha", "artist")).unionByName(
+        _held(asked, "qa", offered, "ht", "artist")
+    )
+    return found.distinct()
+
+
+def _held(asked: DataFrame, term: str, offered: DataFrame, text: str, kind: str) -> DataFrame:
+    pairs = _term_texts(asked, term, offered, text)
+    rows = splittable_join(offered.select(F.col(text).alias("text"), "id", "bpm"), pairs, ["text"])
+    return rows.select(F.lit(kind).alias("kind"), "term", "id", "bpm")
+
+
+def _term_texts(asked: DataFrame, term: str, offered: DataFrame, text: str) -> DataFrame:
+    terms = asked.select(F.col(term).alias("term")).where("term is not null").distinct()
+    texts = offered.select(F.col(text).alias("text")).where("text is not null").distinct()
+    return holders(terms, texts)
+
+
+def _first_held(asked: DataFrame, term: str, offered: DataFrame, text: str) -> DataFrame:
+    """Per term and tempo the first entry whose ``text`` holds it; entries of one text are one before they meet terms."""
+    least = offered.groupBy(F.col(text).alias("text"), "bpm").agg(F.min("id").alias("pos"))
+    met = splittable_join(least, _term_texts(asked, term, offered, text), ["text"])
+    return met.groupBy("term", "bpm").agg(F.min("pos").alias("pos"))
+
+
+def catalogue_firsts(songs: DataFrame, entries: DataFrame) -> DataFrame:
+    """What ``first_per_bpm`` gives, over all entries as hits in order of their ids; perfect hits are rows of their own.
+
+    Songs and entries never meet in pairs: the first entry per tempo is found per different title and per
+    different artist, and a song takes the earlier of the two.
+    """
+    asked, offered = _queries_of(songs), _offers_of(entries)
+    by_title = _first_held(asked, "qt", offered, "ht")
+    by_artist = _first_held(asked, "qa", offered, "ha").unionByName(_first_held(asked, "qa", offered, "ht"))
+    by_artist = by_artist.groupBy("term", "bpm").agg(F.min("pos").alias("pos"))
+    rows = splittable_join(asked.withColumn("term", F.col("qt")), by_title, ["term"]).unionByName(
+        splittable_join(asked.withColumn("term", F.col("qa")), by_artist, ["term"])
+    )
+    firsts = rows.groupBy(F.struct("song_id", "qa", "bpm").alias("_key")).agg(F.min("pos").alias("pos"))
+    named = splittable_join(
+        firsts.select("_key.song_id", "_key.qa", "_key.bpm", "pos"), offered.select(F.col("id").alias("pos"), "ha", "ht_raw"), ["pos"]
+    )
+    near = named.select("song_id", "bpm", "pos", has_artist().alias("artist_hit"))
+    equal = offered.groupBy(F.col("ha").alias("qa"), F.col("ht").alias("qt"), "bpm").agg(F.min("id").alias("perfect_pos"))
+    perfect = splittable_join(asked, equal, ["qa", "qt"]).select("song_id", "bpm", "perfect_pos")
+    return near.unionByName(perfect, allowMissingColumns=True)
+
+
+def match_catalogue(songs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Tempo of every song by all entries of a catalogue (``id, artist_name, song_name, bpm``; ids differ)."""
+    firsts = catalogue_firsts(songs, entries)
+    return decide(firsts.unionByName(songs.select("song_id"), allowMissingColumns=True))
+
+
+def without_hits(songs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Decisions for the songs that no entry is near to: one pass over all songs, of which those without hits are kept."""
+    firsts = catalogue_firsts(songs, entries).select("song_id", F.lit(1).alias("found"))
+    counted = firsts.unionByName(songs.select("song_id", F.lit(0).alias("found"))).groupBy("song_id").agg(F.max("found").alias("found"))
+    return counted.where("found = 0").select(
+        "song_id", F.lit(None).cast("bigint").alias("bpm"), F.lit(BOOKMARKED).alias("match_status")
+    )

@@ -73,11 +73,16 @@ VIEWS = {
                trim(lower(h.artist_name)) AS ha, trim(replace(lower(h.song_name), '''', '')) AS ht,
                trim(lower(h.song_name)) AS ht_raw
         FROM songs s JOIN hits h USING (song_id)""",
+    "asked": "SELECT song_id, lower(artist) AS qa, lower(replace(title, '’', '')) AS qt FROM songs",
+    "offered": """
+        SELECT id, bpm, trim(lower(artist_name)) AS ha, trim(replace(lower(song_name), '''', '')) AS ht,
+               trim(lower(song_name)) AS ht_raw
+        FROM entries""",
     "perfect": """
-        SELECT song_id, min(pos) AS pos, arg_min(bpm, pos) AS bpm FROM normal WHERE qa = ha AND qt = ht GROUP BY song_id""",
+        SELECT song_id, min(id) AS pos, arg_min(bpm, id) AS bpm FROM asked JOIN offered ON qa = ha AND qt = ht GROUP BY song_id""",
     "near": """
-        SELECT *, contains(ha, qa) OR contains(ht_raw, qa) AS artist_hit FROM normal
-        WHERE contains(ht, qt) OR contains(ha, qa) OR contains(ht, qa)""",
+        SELECT song_id, id AS pos, bpm, contains(ha, qa) OR contains(ht_raw, qa) AS artist_hit
+        FROM asked JOIN offered ON contains(ht, qt) OR contains(ha, qa) OR contains(ht, qa)""",
     "firsts": """
         SELECT song_id, bpm, pos, artist_hit FROM near
         QUALIFY row_number() OVER (PARTITION BY song_id, bpm ORDER BY pos) = 1""",
@@ -221,15 +226,18 @@ BODIES = {
     "join_vocab": "SELECT ch, n, idx FROM (SELECT ch, count(*) AS n FROM chars GROUP BY ch) JOIN vocab USING (ch)",
     "match_norm": "SELECT song_id, pos, qa, qt, ha, ht, ht_raw FROM normal",
     "match_perfect": "SELECT song_id, pos, bpm FROM perfect",
-    "match_near": "SELECT song_id, pos, id, bpm FROM near",
+    "match_near": """
+        SELECT 'title' AS kind, qt AS term, id, bpm FROM (SELECT DISTINCT qt FROM asked) JOIN offered ON contains(ht, qt)
+        UNION ALL
+        SELECT 'artist', qa, id, bpm FROM (SELECT DISTINCT qa FROM asked) JOIN offered ON contains(ht, qa) OR contains(ha, qa)""",
     "match_dedup_bpm": "SELECT song_id, bpm, pos, artist_hit FROM firsts",
     "match_reduce_artist": "SELECT song_id, bpm, pos, artist_hit FROM reduced",
     "match_decide": "SELECT * FROM decided",
     "match_nohit": """
         SELECT c_custkey AS song_id, c.bpm, c.match_status FROM (
             SELECT c_custkey, NULL::BIGINT AS bpm, 'BOOKMARKED' AS match_status FROM customer
-            WHERE NOT EXISTS (SELECT 1 FROM entry_words WHERE word = lower(c_name) OR list_contains(
-                string_split(CASE WHEN c_nationkey < 12 THEN lower(c_mktsegment) ELSE 'blue steel' END, ' '), word))
+            WHERE NOT EXISTS (SELECT 1 FROM offered WHERE contains(ha, lower(c_name)) OR contains(ht, lower(c_name))
+                OR contains(ht, CASE WHEN c_nationkey < 12 THEN lower(c_mktsegment) ELSE 'blue steel' END))
         ) c""",
     "match_bpm": "SELECT * FROM decided",
     "agg_range": "SELECT min(bpm) AS min_bpm, max(bpm) AS max_bpm FROM english",

@@ -227,8 +227,12 @@ def join_keyed(spark, sf_dir):
     )
 
 
+#: Hits that a page of the search shows; only what asks for a page is cut at it.
+PAGE_SIZE = 10
+
+
 def _hits(spark, sf_dir):
-    return blocking.search_hits(views.songs(spark, sf_dir), views.entries(spark, sf_dir))
+    return blocking.search_hits(views.songs(spark, sf_dir), views.entries(spark, sf_dir), page_size=PAGE_SIZE)
 
 
 @query
@@ -277,47 +281,49 @@ def match_norm(spark, sf_dir):
     return _pairs(spark, sf_dir).select("song_id", "pos", "qa", "qt", "ha", "ht", "ht_raw")
 
 
+def _firsts(spark, sf_dir):
+    return matching.catalogue_firsts(views.songs(spark, sf_dir), views.entries(spark, sf_dir))
+
+
 @query
 def match_perfect(spark, sf_dir):
-    return matching.perfect_hits(_pairs(spark, sf_dir))
+    perfect = _firsts(spark, sf_dir).where(F.col("perfect_pos").isNotNull())
+    return perfect.groupBy("song_id").agg(F.min("perfect_pos").alias("pos"), F.min_by("bpm", "perfect_pos").alias("bpm"))
 
 
 @query
 def match_near(spark, sf_dir):
-    return matching.near_hits(_pairs(spark, sf_dir)).select("song_id", "pos", "id", "bpm")
+    return matching.near_terms(views.songs(spark, sf_dir), views.entries(spark, sf_dir))
 
 
 @query
 def match_dedup_bpm(spark, sf_dir):
-    firsts = matching.first_per_bpm(_pairs(spark, sf_dir))
-    return firsts.where(F.col("pos").isNotNull()).select("song_id", "bpm", "pos", "artist_hit")
+    return _firsts(spark, sf_dir).where(F.col("pos").isNotNull()).select("song_id", "bpm", "pos", "artist_hit")
 
 
 @query
 def match_reduce_artist(spark, sf_dir):
-    return matching.reduce_by_artist(matching.first_per_bpm(_pairs(spark, sf_dir)))
+    return matching.reduce_by_artist(_firsts(spark, sf_dir))
 
 
 @query
 def match_decide(spark, sf_dir):
-    return matching.decide(matching.first_per_bpm(_pairs(spark, sf_dir)))
+    return matching.decide(_firsts(spark, sf_dir))
 
 
 @query
 def match_nohit(spark, sf_dir):
-    """Customers looked up as artists: those that share no word with any entry."""
+    """Customers looked up as artists: those whose name and title no entry holds."""
     title = F.when(F.col("c_nationkey") < 12, F.col("c_mktsegment")).otherwise("blue steel")
     songs = views.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("song_id"), F.col("c_name").alias("artist"), title.alias("title")
     )
-    hits = blocking.search_hits(songs, views.entries(spark, sf_dir))
-    without_hits = songs.join(hits.select("song_id").distinct(), "song_id", "left_anti")
-    return matching.match_bpm(without_hits, hits).select("song_id", "bpm", "match_status")
+    return matching.without_hits(songs, views.entries(spark, sf_dir))
 
 
 @query
 def match_bpm(spark, sf_dir):
-    return matching.match_bpm(views.songs(spark, sf_dir), _hits(spark, sf_dir))
+    return matching.match_catalogue(views.songs(spark, sf_dir), views.entries(spark, sf_dir))
 
 
 # Aggregation

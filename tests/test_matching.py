@@ -4,7 +4,8 @@ import pytest
 
 from conftest import large_tables
 from songloom.operators.blocking import search_hits
-from songloom.operators.matching import match_bpm
+from songloom.operators.holding import holders
+from songloom.operators.matching import match_bpm, match_catalogue, without_hits
 
 # case: query artist, query title, hits (artist, title, bpm), expected bpm and status
 CASES = {
@@ -88,7 +89,7 @@ def test_search_hits_equal_brute_force(spark, hot_df, max_hot, k):
     got = search_hits(
         spark.createDataFrame(songs, "song_id long, artist string, title string"),
         spark.createDataFrame(entries, "id long, artist_name string, song_name string, bpm string").repartition(3),
-        k=k, hot_df=hot_df, max_hot=max_hot,
+        page_size=k, hot_df=hot_df, max_hot=max_hot,
     )
     assert sorted((r.song_id, r.pos, r.id, r.shared) for r in got.collect()) == brute_force(songs, entries, k)
 
@@ -104,3 +105,36 @@ def test_song_with_most_hits_can_be_split(spark):
         matched = match_bpm(songs, hits)
         assert len(matched.collect()) == 50
         assert "skew=true" in matched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_holders_equal_brute_force(spark):
+    rng = random.Random(3)
+
+    def text(n):
+        return " ".join("".join(rng.choice("aab") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, n)))
+
+    terms = sorted({text(4) for _ in range(80)} | {"", " ", "  ", "   ", "a", "b b"})
+    texts = sorted({text(6) for _ in range(120)} | {"", " ", "a", "ab  ba"})
+    got = holders(
+        spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(t,) for t in texts], "text string")
+    )
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in terms for b in texts if a in b)
+
+
+def test_catalogue_equals_matching_on_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["Love", "night", "the", "moon's", "sun", "fire"]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+
+    songs = [(i, text(2), text(2)) for i in range(40)] + [(40, "zzz", "qqq"), (41, None, "sun")]
+    entries = [(i, text(2), text(4), rng.choice(["90", "100", "110", "x"])) for i in range(60)] + [(60, None, None, None)]
+    song_rows = spark.createDataFrame(songs, "song_id long, artist string, title string")
+    entry_rows = spark.createDataFrame(entries, "id long, artist_name string, song_name string, bpm string")
+    pairs = [(s[0], e[0], *e[1:]) for s in songs for e in entries]
+    hits = spark.createDataFrame(pairs, "song_id long, pos long, artist_name string, song_name string, bpm string")
+    wanted = sorted(map(tuple, match_bpm(song_rows, hits).select("song_id", "bpm", "match_status").collect()))
+    got = match_catalogue(song_rows, entry_rows).select("song_id", "bpm", "match_status").collect()
+    assert sorted(map(tuple, got)) == wanted
+    assert 40 in {r.song_id for r in without_hits(song_rows, entry_rows).collect()}
