@@ -1,7 +1,7 @@
 """Token counts of whole texts by a public tokenizer.
 
 Texts are split at boundaries that no token crosses, and every distinct piece of a batch is encoded once; a
-bounded memory of pieces lives in each worker. Tasks return lengths only. Batches are balanced by bytes, and
+bounded memory of pieces lives as long as its task. Tasks return lengths only. Batches are balanced by bytes, and
 a long text is just many pieces, so nothing is truncated.
 
 Safe boundaries. The word tokenizer drops white space before it forms tokens, and normalises it away, so any
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from songloom.llm.common import coded, ragged, steps, sums, words_of
 
-#: Pieces that a worker remembers before it drops those not met since half as many ago.
+#: Pieces that a task remembers before it drops those not met since half as many ago.
 REMEMBERED = 600_000
 #: Bytes of pieces that are encoded in one call.
 CALL_BYTES = 1 << 16
@@ -78,16 +78,6 @@ class Pieces:
             self.known.update(zip(group, map(keep, self._encode_many(group))))
 
 
-_OF_WORKER: dict[tuple[str, str], Pieces] = {}
-
-
-def pieces_of(path: str, use: str) -> Pieces:
-    """The memory of this worker process for a tokenizer and a use; tasks that follow each other share it."""
-    if (path, use) not in _OF_WORKER:
-        _OF_WORKER[path, use] = Pieces(path)
-    return _OF_WORKER[path, use]
-
-
 def count_tokens(
     docs: DataFrame, tokenizer: str, limit: int = 2048, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -98,7 +88,7 @@ def count_tokens(
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        pieces = pieces_of(tokenizer, "lengths")
+        pieces = Pieces(tokenizer)
         for batch in steps(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "")
             words, starts = words_of(texts)
