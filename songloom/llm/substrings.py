@@ -9,9 +9,10 @@ Texts are laid out once in chunks of about ``CHUNK_BYTES``, in a bucketed table,
 level a chunk sends the distinct window hashes of its candidates, packed per hash bucket; a window that a third of
 all texts hold is one entry per chunk. A bucket answers with one bit per entry: whether the window occurs elsewhere
 or twice in the chunk, and at the last level whether this chunk holds its first occurrence. Answers are joined to
-the bucketed chunks and become the candidates of the next level.
+the bucketed chunks, as hash tables beside which the texts stream unsorted, and become the candidates of the next level.
 
-Hashes have 64 bits until the last level, where they have 128. Before it they only decide what is looked at further.
+At the last level hashes have 128 bits. Before it they only decide what is looked at further: the bucket and 32
+bits more, whatever the number of buckets, so that about one window in 2,000 is looked at in vain.
 
 Words are runs of anything but ASCII white space. The order of occurrences is that of the ids, then places.
 
@@ -39,6 +40,8 @@ CHUNK_BYTES = 8 << 20
 BUCKET_WINDOWS = 2_000_000
 #: Words of the shortest windows.
 FIRST = 5
+#: Bits of a window hash that are sent besides the bucket, before the last level.
+SENT_BITS = 32
 
 
 def _chunked(docs: DataFrame, limit: int) -> DataFrame:
@@ -107,9 +110,14 @@ def _holds(candidates: np.ndarray, short: int, length: int) -> np.ndarray:
     return held
 
 
-def _distinct(chunk: Chunk, ids: np.ndarray, places: np.ndarray, length: int, last: bool):
-    """Distinct windows of the candidates: keys, and which place comes first by id and place, and which repeat here."""
+def _distinct(chunk: Chunk, ids: np.ndarray, places: np.ndarray, length: int, last: bool, bits: int):
+    """Distinct windows of the candidates: keys, and which place comes first by id and place, and which repeat here.
+
+    Before the last level a key is the first ``bits + SENT_BITS`` bits of the hash.
+    """
     key = chunk.windows(length)[places]
+    if not last:
+        key = key >> np.uint64(max(0, 64 - SENT_BITS - bits))
     if last:
         other = chunk.windows(length, 7)[places]
         row = np.searchsorted(chunk.starts, places, side="right") - 1
@@ -139,10 +147,12 @@ def _sent(chunk: Chunk, number: int, ids: np.ndarray, places: np.ndarray, length
     rows: dict[str, list] = {"bucket": [], "chunk": [], "keys": [], "more": []}
     if not len(places):
         return rows
-    key, other, order, new = _distinct(chunk, ids, places, length, last)
+    key, other, order, new = _distinct(chunk, ids, places, length, last, bits)
     first = np.flatnonzero(new)
     repeats = np.diff(np.append(first, len(key))) > 1
-    bucket = (key[first] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
+    width = 64 if last else SENT_BITS + bits
+    bucket = (key[first] >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
+    form = "<u8" if last else "<u4"
     ends = np.searchsorted(bucket, np.arange(1 << bits), side="right")
     row = np.searchsorted(chunk.starts, places[order[first]], side="right") - 1
     begin = 0
@@ -150,7 +160,7 @@ def _sent(chunk: Chunk, number: int, ids: np.ndarray, places: np.ndarray, length
         if end > begin:
             rows["bucket"].append(b)
             rows["chunk"].append(number)
-            rows["keys"].append(key[first[begin:end]].astype("<u8").tobytes())
+            rows["keys"].append(key[first[begin:end]].astype(form).tobytes())
             if last:
                 rows["more"].append(other[first[begin:end]].astype("<u8").tobytes() + ids[row[begin:end]].astype("<i8").tobytes())
             else:
@@ -164,7 +174,11 @@ def _answer(last: bool):
 
     def run(table: pa.Table):
         chunks = table.column("chunk").to_numpy()
-        keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+        if table.column("bucket")[0].as_py() < 0:  # a chunk's own candidates go through
+            n = pa.array([int.from_bytes(m, "big") for m in table.column("more").to_pylist()], pa.int64())
+            own = [pa.array(chunks), table.column("bucket").combine_chunks(), n, table.column("keys").combine_chunks()]
+            return [pa.RecordBatch.from_arrays(own, ["chunk", "bucket", "n", "bits"])]
+        keys = [np.frombuffer(k, "<u8" if last else "<u4") for k in table.column("keys").to_pylist()]
         more = table.column("more").to_pylist()
         sizes = np.array([len(k) for k in keys])
         key = np.concatenate(keys)
@@ -213,12 +227,12 @@ def _places(chunk: Chunk, length: int, short: int, before: np.ndarray | None) ->
     return np.flatnonzero(places)
 
 
-def _candidates(chunk: Chunk, ids: np.ndarray, places: np.ndarray, length: int, bits: np.ndarray) -> np.ndarray:
+def _candidates(chunk: Chunk, ids: np.ndarray, places: np.ndarray, length: int, again: np.ndarray, bits: int) -> np.ndarray:
     """Which places hold windows of ``length`` that were answered to repeat."""
     found = np.zeros(len(chunk.left), bool)
     if len(places):
-        _, _, order, new = _distinct(chunk, ids, places, length, False)
-        found[places[order]] = bits[np.cumsum(new) - 1]
+        _, _, order, new = _distinct(chunk, ids, places, length, False, bits)
+        found[places[order]] = again[np.cumsum(new) - 1]
     return found
 
 
@@ -226,7 +240,7 @@ def _removed(chunk: Chunk, ids: np.ndarray, places: np.ndarray, length: int, bit
     """Words covered by a window that also starts earlier."""
     gone = np.zeros(len(chunk.left) + 1, np.int64)
     if len(places):
-        _, _, order, new = _distinct(chunk, ids, places, length, True)
+        _, _, order, new = _distinct(chunk, ids, places, length, True, 0)
         first = new & bits[np.cumsum(new) - 1]
         at = places[order[~first]]
         np.add.at(gone, at, 1)
@@ -258,9 +272,9 @@ class Doubling:
         """Chunks with the candidates they had before the last answers, and these answers."""
         source = self.chunks.drop("windows")
         if answers is not None:
-            source = source.join(answers, "chunk", "left")
+            source = source.join(answers.hint("shuffle_hash"), "chunk", "left")
         if known is not None:
-            source = source.join(known, "chunk", "left")
+            source = source.join(known.hint("shuffle_hash"), "chunk", "left")
         return source
 
     def ask(self, level: int, known: DataFrame | None, answers: DataFrame | None):
@@ -288,10 +302,10 @@ class Doubling:
                         if level > 1:
                             before = _unpacked(batch.column("held")[i].as_py(), batch.column("n")[i].as_py())
                         asked = _places(chunk, short, levels[level - 2] if level > 1 else 0, before)
-                        found = _candidates(chunk, ids, asked, short, _bits(replies))
+                        found = _candidates(chunk, ids, asked, short, _bits(replies), bits)
                     rows = _sent(chunk, number, ids, _places(chunk, levels[level], short, found), levels[level], last, bits)
                     if level:  # the candidates themselves are kept beside the windows
-                        rows["bucket"].append(-1)
+                        rows["bucket"].append(-1 - number)
                         rows["chunk"].append(number)
                         rows["keys"].append(np.packbits(found).tobytes())
                         rows["more"].append(len(found).to_bytes(8, "big"))
@@ -300,15 +314,15 @@ class Doubling:
                         ["bucket", "chunk", "keys", "more"],
                     )
 
+        # Windows are written once, by the shuffle; one row of a chunk or of a bucket at a time is in the tasks' hands.
         with rows_per_batch(self.spark, 1):
-            sent = stored(self._before(known, answers).mapInArrow(send, "bucket long, chunk long, keys binary, more binary"), "windows")
-        asked = sent.where("bucket >= 0")
-        kept = sent.where("bucket = -1").select("chunk", F.col("keys").alias("held"), F.conv(F.hex("more"), 16, 10).cast("long").alias("n"))
-        if asked.isEmpty():
+            sent = self._before(known, answers).mapInArrow(send, "bucket long, chunk long, keys binary, more binary")
+            answered = stored(by_group(sent, ["bucket"], _answer(last), "chunk long, bucket long, n long, bits binary"), "answers")
+        kept = answered.where("bucket < 0").select("chunk", F.col("bits").alias("held"), "n") if level else None
+        replies = answered.where("bucket >= 0")
+        if replies.isEmpty():
             return kept, None
-        with rows_per_batch(self.spark, 64):
-            answered = stored(by_group(asked, ["bucket"], _answer(last), "chunk long, bucket long, n long, bits binary"), "answers")
-        return kept if level else None, answered.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))
+        return kept, replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))
 
 
 def remove_repeats(
