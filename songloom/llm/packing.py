@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.llm.common import steps
-from songloom.llm.tokens import Pieces, encoded
+from songloom.llm.tokens import PieceIds, encoded
 from songloom.session import stored
 
 
@@ -103,7 +103,7 @@ def cut_pieces(
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        pieces = Pieces(tokenizer)
+        pieces = PieceIds(tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in steps(batches, "text"):
             ids, starts = encoded(batch.column("text"), pieces)

@@ -29,6 +29,8 @@ from songloom.llm.common import coded, ragged, steps, sums, words_of
 REMEMBERED = 600_000
 #: Bytes of pieces that are encoded in one call.
 CALL_BYTES = 1 << 16
+#: The same for pieces that are joined without marks; every call costs some milliseconds of its own.
+JOINED_BYTES = 1 << 20
 
 
 class Pieces:
@@ -115,45 +117,112 @@ def count_tokens(
 _INNER_BLANK = re.compile(r"(?<=\S)(?= \S)")
 
 
-def encoded(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+class PieceIds:
+    """Token ids of text pieces by the byte tokenizer, in one array; pieces are known by their number in it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        #: Bytes that each token stands for: its text has one character per byte.
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.stock = np.zeros(0, np.uint32)
+        self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        found = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return found, np.array([len(x) for x in found], np.int64)
+
+    def _joined(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Pieces that begin with a blank as one text: no token crosses such a blank, so byte lengths tell where to cut."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(self.bytes_of[ids])
+        asked = np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = np.searchsorted(ends, asked)
+        if len(ids) != at[-1] + 1 or (ends[at] != asked).any():
+            return self._one_by_one(pieces)
+        return [ids], np.diff(at, prepend=-1)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of different pieces; those not known are encoded, in calls of about equal bytes.
+
+        Numbers hold until the next call.
+        """
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        fresh = [p for p in pieces if p not in self.number]
+        # A special token's text counts as that token; white space at an end may join that of a neighbour.
+        alone = [p for p in fresh if "<|" in p or p[:1] != " " or p[1:2].isspace() or p[-1:].isspace()]
+        apart = set(alone)
+        parts, lengths, group, held = [], [], [], 0
+        order = []
+        for call, chosen in ((self._one_by_one, alone), (self._joined, [p for p in fresh if p not in apart])):
+            order += chosen
+            for k, piece in enumerate(chosen):
+                group.append(piece)
+                held += len(piece)
+                if held > JOINED_BYTES or k == len(chosen) - 1:
+                    ids, sizes = call(group)
+                    parts += ids
+                    lengths.append(sizes)
+                    group, held = [], 0
+        if order:
+            self.number.update(zip(order, range(len(self.number), len(self.number) + len(order))))
+            self.stock = np.concatenate([self.stock, *parts])
+            self.lengths = np.concatenate([self.lengths, *lengths])
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
+
+#: Words of one ASCII character or more, none of them white space.
+_PLAIN = "^[!-~]+$"
+
+
+def encoded(texts: pa.Array, pieces: PieceIds) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts one after the other, and where each text starts, for the byte tokenizer."""
     texts = pc.fill_null(texts, "")
     lists = pc.split_pattern(texts, " ")
     flat = lists.flatten()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     codes, distinct = coded(flat)
-    words = distinct.to_pylist()
     # A piece that is empty, starts or ends with white space has no safe boundary beside it.
-    odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+    odd = ~pc.match_substring_regex(distinct, _PLAIN).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(odd)
+    odd[at] = [not w or w[0].isspace() or w[-1].isspace() for w in distinct.take(pa.array(at)).to_pylist()]
     row_odd = sums(odd[codes].astype(np.int64), offsets) > 0
     first = np.zeros(len(codes), bool)
     first[offsets[:-1]] = True  # splitting gives every text one piece at least
     plain = np.repeat(~row_odd, np.diff(offsets))
-    units = codes.astype(np.int64) * 2 + ~first
-    used = np.flatnonzero(np.bincount(units[plain]))
-    names = [(" " if u & 1 else "") + words[u >> 1] for u in used.tolist()]
-    apart = {}
-    for i in np.flatnonzero(row_odd).tolist():
-        apart[i] = _INNER_BLANK.split(texts[i].as_py())
-    extra = sorted({p for row in apart.values() for p in row} - set(names))
-    every = names + extra
-    pieces.learn(every, lambda ids: ids)
-    ids_of = [pieces.known[n] for n in every]
-    lengths = np.fromiter((len(x) for x in ids_of), np.int64, len(ids_of))
-    starts = np.cumsum(lengths) - lengths
-    stock = np.concatenate(ids_of) if ids_of else np.zeros(0, np.uint32)
-    place = {n: i for i, n in enumerate(every)} if apart else {}
-    slot = np.zeros(2 * max(1, len(words)), np.int64)
-    slot[used] = np.arange(len(used))
-    if not apart:
-        chosen, row_starts = slot[units], offsets
-    else:
-        parts, row_starts = [], [0]
+    begins, follows = (np.flatnonzero(np.bincount(codes[plain & x], minlength=len(distinct))) for x in (first, ~first))
+    names = distinct.take(pa.array(begins)).to_pylist()
+    names += pc.binary_join_element_wise("", distinct.take(pa.array(follows)), " ").to_pylist()
+    apart = {i: _INNER_BLANK.split(texts[i].as_py()) for i in np.flatnonzero(row_odd).tolist()}
+    extra = sorted({p for row in apart.values() for p in row} - set(names)) if apart else []
+    number = pieces.numbers(names + extra)
+    slot = np.zeros((2, max(1, len(distinct))), np.int64)
+    slot[0, begins] = number[: len(begins)]
+    slot[1, follows] = number[len(begins) : len(names)]
+    chosen = slot[(~first).astype(np.int64), codes]
+    row_starts = offsets
+    if apart:
+        place = dict(zip(names + extra, number.tolist()))
+        parts, counts = [], np.diff(offsets)
         for i in range(len(texts)):
-            part = np.array([place[p] for p in apart[i]], np.int64) if i in apart else slot[units[offsets[i] : offsets[i + 1]]]
-            parts.append(part)
-            row_starts.append(row_starts[-1] + len(part))
-        chosen, row_starts = np.concatenate(parts), np.array(row_starts)
-    ids = stock[ragged(starts[chosen], lengths[chosen])]
-    ends = np.concatenate(([0], np.cumsum(lengths[chosen])))
+            if i in apart:
+                parts.append(np.array([place[p] for p in apart[i]], np.int64))
+                counts[i] = len(apart[i])
+            else:
+                parts.append(chosen[offsets[i] : offsets[i + 1]])
+        chosen, row_starts = np.concatenate(parts), np.concatenate(([0], np.cumsum(counts)))
+    lengths = pieces.lengths[chosen]
+    ids = pieces.stock[ragged(pieces.starts[chosen], lengths)]
+    ends = np.concatenate(([0], np.cumsum(lengths)))
     return ids, ends[row_starts]
