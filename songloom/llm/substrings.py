@@ -35,7 +35,7 @@ from songloom.llm.common import by_group, coded, hashes_of, mixed, rows_per_batc
 from songloom.session import new_dir, stored
 
 #: Text that a chunk holds, unless one text is longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Window hashes that a bucket should hold.
 BUCKET_WINDOWS = 2_000_000
 #: Words of the shortest windows.
