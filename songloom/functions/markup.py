@@ -10,6 +10,19 @@ from html.parser import HTMLParser
 # Elements without content, and elements whose text is not shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template rp rt".split())
+# Elements whose end tag may be left out: the start tags that end them, and the elements the look-out stops at.
+ENDED_BY = {
+    "li": ("li", "ul ol menu table"),
+    "p": ("p", "a blockquote button div form li section article table td th"),
+    "a": ("a", "table td th"),
+    "td": ("td th", "tr table"),
+    "th": ("td th", "tr table"),
+    "tr": ("tr", "table"),
+    "option": ("option", "select datalist"),
+    "dt": ("dt dd", "dl"),
+    "dd": ("dt dd", "dl"),
+}
+ENDED_BY = {tag: (frozenset(ends.split()), frozenset(stops.split())) for tag, (ends, stops) in ENDED_BY.items()}
 
 
 @dataclass(frozen=True)
@@ -44,6 +57,8 @@ class _Record:
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
         self.text: dict[str, list[str]] = {}
+        #: Names whose text is being gathered.
+        self.inside: set[str] = set()
 
 
 class _Reader(HTMLParser):
@@ -60,13 +75,31 @@ class _Reader(HTMLParser):
         self.gathering: list[tuple[_Record, str]] = []
         self.hidden = 0
 
+    def parse_marked_section(self, i, report=1):
+        """Marked sections are no HTML: read over like a comment, as browsers do."""
+        return self.parse_bogus_comment(i)
+
+    def _end_implied(self, tag: str) -> None:
+        """Close an element that this start tag ends."""
+        ends, stops = ENDED_BY[tag]
+        if not any(self.open_tags[t] for t in ends):
+            return
+        for other, _, _ in reversed(self.open):
+            if other in ends:
+                while self._close() != other:
+                    pass
+                return
+            if other in stops:
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag in ENDED_BY:
+            self._end_implied(tag)
         values = {name: value or "" for name, value in attrs}
         begun: list[tuple[_Record, str]] = []
         for record in self.live:
-            inside = {name for owner, name in self.gathering if owner is record}
             for node in self.nodes:
-                if (node.within is None or node.within in inside) and node.matches(tag, values):
+                if (node.within is None or node.within in record.inside) and node.matches(tag, values):
                     count = record.seen.get(node.name, 0)
                     record.seen[node.name] = count + 1
                     if count == node.nth:
@@ -78,6 +111,8 @@ class _Reader(HTMLParser):
             self.records += records
             self.live += records
         self.gathering += begun
+        for record, name in begun:
+            record.inside.add(name)
         self.hidden += tag in HIDDEN
         self.open.append((tag, records, begun))
         self.open_tags[tag] += 1
@@ -98,6 +133,8 @@ class _Reader(HTMLParser):
         tag, records, begun = self.open.pop()
         self.open_tags[tag] -= 1
         self.hidden -= tag in HIDDEN
+        for record, name in begun:
+            record.inside.discard(name)
         self.live = [r for r in self.live if r not in records] if records else self.live
         self.gathering = [g for g in self.gathering if g not in begun] if begun else self.gathering
         return tag

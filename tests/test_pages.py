@@ -80,3 +80,24 @@ def test_link_completeness(spark):
     links = spark.createDataFrame([(0, "a"), (0, "b")], "page_id long, href string")
     rows = pages.link_completeness(headers, links).orderBy("page_id").collect()
     assert [tuple(r) for r in rows] == [(0, 2, 2, True), (1, 1, 0, False), (2, None, 0, False)]
+
+
+def test_marked_sections_are_read_over():
+    for odd in ("<![foo bar]]>", "<![ ]>", "<![CDATA[x]]>", "<!["):
+        assert node_texts(f"<h1>a</h1>{odd}", (Node("t", "h1"),))[0]["t"] == "a"
+    assert node_texts("<![foo bar]]><h1>a</h1>", (Node("t", "h1"),)) == [{"t": "a"}]
+
+
+def test_end_tags_may_be_left_out():
+    read = lambda html, tag: [r.get("t") for r in node_texts(html, (Node("t", "b"),), Node("e", tag))]
+    assert read("<ul><li><b>1</b><li><ul><li><b>2</b></ul></ul><ul><li><b>3</b></ul>", "li") == ["1", "2", "2", "3"]
+    assert read("<table><tr><td><b>1</b><td><b>2</b><tr><td><b>3</b></table>", "td") == ["1", "2", "3"]
+    assert read("<a><b>1</b><a><b>2</b>", "a") == ["1", "2"]
+
+
+def test_time_is_linear_in_unclosed_tags():
+    import time
+
+    begin = time.perf_counter()
+    assert len(node_texts("<li><a href=x>y" * 100_000, (Node("t", "a"),), Node("e", "li"))) == 100_000
+    assert time.perf_counter() - begin < 10
