@@ -130,3 +130,14 @@ def by_group(df: DataFrame, keys: list[str], function: Callable, schema: str, pa
 
     dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def all_finite(vector: Column) -> Column:
+    """Not null, and no component null, infinite or not a number; an empty vector passes."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & finite, F.lit(False))
+
+
+def matrix_of(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)

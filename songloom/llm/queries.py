@@ -11,6 +11,7 @@ from songloom.llm.langid import identify
 from songloom.llm.mixing import taken_words
 from songloom.llm.near_vectors import near_links
 from songloom.llm.ngram_join import near_groups
+from songloom.llm.orchard import clustered
 from songloom.llm.packing import pack
 from songloom.llm.page_text import extract_text
 from songloom.llm.substrings import remove_repeats
@@ -72,11 +73,16 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_links(table(spark, folder, "embeddings"))
 
 
+def op12_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustered(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cube_mixing, op2_substring_dedup, op3_exact_dedup, op4_language_id, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity,
         op8_bin_slack_packing, op9_wrapper_induction, op10_near_vectors,
+        op12_orchard_clusters,
     )
 }
 
@@ -144,4 +150,47 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
     """,
+    "op12_orchard_clusters": """
+        WITH v AS (
+            SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS (
+            SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1)::INTEGER AS cluster, x FROM v
+            ORDER BY sha256('1:' || vec_id), x LIMIT 16
+        ),
+        d1 AS (
+            SELECT v.vec_id, v.row, v.x, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            FROM v, c0 c
+        ), a1 AS (SELECT row, any_value(x) AS x, arg_min(cluster, d * 16 + cluster) AS cluster FROM d1 GROUP BY row),
+        s1 AS (SELECT cluster, i, floor(sum(x[i]) / count(*)) AS m FROM a1, range(1, 65) r(i) GROUP BY cluster, i),
+        c1 AS (
+            SELECT c.cluster, coalesce(n.x, c.x) AS x
+            FROM c0 c LEFT JOIN (SELECT cluster, list(m::BIGINT ORDER BY i) AS x FROM s1 GROUP BY cluster) n USING (cluster)
+        ),
+        d2 AS (
+            SELECT v.vec_id, v.row, v.x, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            FROM v, c1 c
+        ), a2 AS (SELECT row, any_value(x) AS x, arg_min(cluster, d * 16 + cluster) AS cluster FROM d2 GROUP BY row),
+        s2 AS (SELECT cluster, i, floor(sum(x[i]) / count(*)) AS m FROM a2, range(1, 65) r(i) GROUP BY cluster, i),
+        c2 AS (
+            SELECT c.cluster, coalesce(n.x, c.x) AS x
+            FROM c1 c LEFT JOIN (SELECT cluster, list(m::BIGINT ORDER BY i) AS x FROM s2 GROUP BY cluster) n USING (cluster)
+        ),
+        d3 AS (
+            SELECT v.vec_id, v.row, v.x, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            FROM v, c2 c
+        ), a3 AS (SELECT row, any_value(x) AS x, arg_min(cluster, d * 16 + cluster) AS cluster FROM d3 GROUP BY row),
+        s3 AS (SELECT cluster, i, floor(sum(x[i]) / count(*)) AS m FROM a3, range(1, 65) r(i) GROUP BY cluster, i),
+        c3 AS (
+            SELECT c.cluster, coalesce(n.x, c.x) AS x
+            FROM c2 c LEFT JOIN (SELECT cluster, list(m::BIGINT ORDER BY i) AS x FROM s3 GROUP BY cluster) n USING (cluster)
+        ),
+        d4 AS (
+            SELECT v.vec_id, v.row, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            FROM v, c3 c
+        ), f AS (SELECT row, any_value(vec_id) AS vec_id, arg_min(cluster, d * 16 + cluster) AS cluster, min(d) AS distance FROM d4 GROUP BY row)
+        SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+            (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+        FROM f JOIN c3 USING (cluster)
+    """,
 }
