@@ -17,6 +17,7 @@ from songloom.llm.page_text import extract_text
 from songloom.llm.substrings import remove_repeats
 from songloom.llm.tokens import count_tokens
 from songloom.llm.toxicity import toxicity
+from songloom.llm.whitening import whitened
 
 #: Weights that the mixing contract gives to the sources in turn.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -77,12 +78,16 @@ def op12_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustered(table(spark, folder, "embeddings"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cube_mixing, op2_substring_dedup, op3_exact_dedup, op4_language_id, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity,
         op8_bin_slack_packing, op9_wrapper_induction, op10_near_vectors,
-        op12_orchard_clusters,
+        op12_orchard_clusters, op13_whitening,
     )
 }
 
