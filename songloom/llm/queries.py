@@ -15,6 +15,7 @@ from songloom.llm.orchard import clustered
 from songloom.llm.packing import pack
 from songloom.llm.page_text import extract_text
 from songloom.llm.substrings import remove_repeats
+from songloom.llm.text_model import score_texts
 from songloom.llm.tokens import count_tokens
 from songloom.llm.toxicity import toxicity
 from songloom.llm.whitening import whitened
@@ -74,6 +75,10 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_links(table(spark, folder, "embeddings"))
 
 
+def op11_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
 def op12_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustered(table(spark, folder, "embeddings"))
 
@@ -87,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_cube_mixing, op2_substring_dedup, op3_exact_dedup, op4_language_id, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity,
         op8_bin_slack_packing, op9_wrapper_induction, op10_near_vectors,
-        op12_orchard_clusters, op13_whitening,
+        op11_context_tree_scores, op12_orchard_clusters, op13_whitening,
     )
 }
 
