@@ -44,7 +44,10 @@ CHUNK_BYTES = 32 << 20
 BUCKET_KEYS = 1 << 21
 LEAST_BUCKETS = 32
 #: Codes weighed at once in a task, as far as whole groups allow.
-GROUP_ROWS = 1 << 20
+GROUP_ROWS = 1 << 18
+#: Texts, and blobs, per Arrow batch.
+BATCH_TEXTS = 1000
+BATCH_BLOBS = 8
 #: A byte that UTF-8 never has: what comes before a text, and its end.
 EDGE = b"\xff"
 
@@ -211,7 +214,7 @@ def _by_bucket(batches, key: str, columns: list[str]):
     """``(key, iterator of rows)`` for each run of equal keys."""
     from itertools import groupby
 
-    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns)))
+    rows = (tuple(batch.column(c)[i].as_py() for c in columns) for batch in batches for i in range(batch.num_rows))
     at = columns.index(key)
     return groupby(rows, key=lambda r: r[at])
 
@@ -416,11 +419,12 @@ def score_texts(
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), is_other(id_column).alias("other"))
     id_type = rows.schema["id"].dataType.simpleString()
     cut = rows.mapInArrow(_chunks(depth, chunk_bytes), "chunk long, docs binary, kind int, keys binary, n long")
-    chunks = stored(cut, "chunks")
+    with rows_per_batch(spark, BATCH_TEXTS):
+        chunks = stored(cut, "chunks")
     sizes = chunks.agg(F.sum(F.when(F.col("keys").isNotNull(), F.col("n"))).alias("keys"), F.sum(F.when(F.col("docs").isNotNull(), F.col("n"))).alias("ends")).first()
     ends, buckets = sizes["ends"] or 0, max(LEAST_BUCKETS, (sizes["keys"] or 0) // BUCKET_KEYS)
 
-    with rows_per_batch(spark, 64):  # rows are blobs
+    with rows_per_batch(spark, BATCH_BLOBS):
         asked = _asked(chunks, buckets)
         in_buckets = asked.select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
         summed = "bucket long, blob binary, known long, total long, gram long, n long"
@@ -441,10 +445,14 @@ def score_texts(
     counted = totals.where("bucket is not null").select("bucket", F.lit(None).cast("long").alias("chunk"), "blob", F.lit(True).alias("first"))
     model = stored(model.unionByName(counted), "model")
 
-    with rows_per_batch(spark, 64):
+    with rows_per_batch(spark, BATCH_BLOBS):
         asked = model.unionByName(_asked(chunks, buckets)).repartition("bucket").sortWithinPartitions("bucket", F.desc("first"))
         answers = asked.mapInArrow(_answered, "chunk long, blob binary, first boolean")
         texts = chunks.where("docs is not null").select("chunk", F.col("docs").alias("blob"), F.lit(False).alias("first"))
         at_chunk = stored(answers, "answers").unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.desc("first"))
-    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return at_chunk.mapInArrow(_scored(depth, train_tokens, words, ends), schema).withColumnRenamed("id", id_column)
+        schema = (
+            f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+            "bits_per_byte double"
+        )
+        scored = stored(at_chunk.mapInArrow(_scored(depth, train_tokens, words, ends), schema), "scores")
+    return scored.withColumnRenamed("id", id_column)
