@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames has it; names differ by more than case."""
+    taken = {column.lower() for frame in frames for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on columns of the same names; null keys meet nothing.
 
@@ -15,7 +23,8 @@ def splittable_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     side is small per key. A side small enough is broadcast by adaptive execution either way.
     """
     known = right
-    for key in keys:
-        known = known.where(F.col(key).isNotNull())
-    keyed = known.select(F.struct(*keys).alias("_key"), *[c for c in right.columns if c not in keys])
-    return left.withColumn("_key", F.struct(*keys)).join(keyed, "_key", how).drop("_key")
+    for column in keys:
+        known = known.where(F.col(column).isNotNull())
+    key = free_name("_key", left, right)
+    keyed = known.select(F.struct(*keys).alias(key), *[c for c in right.columns if c not in keys])
+    return left.withColumn(key, F.struct(*keys)).join(keyed, key, how).drop(key)

@@ -21,7 +21,7 @@ from songloom.constants import BOOKMARKED
 from songloom.functions.coercion import strict_int
 from songloom.functions.strings import contains, strip, without
 from songloom.operators.equijoin import splittable_join
-from songloom.operators.holding import holders
+from songloom.operators.holding import first_holders, holders
 from songloom.operators.joins import join_hits
 
 
@@ -185,32 +185,28 @@ def _offers_of(entries: DataFrame) -> DataFrame:
     return normalised(named).select("id", "bpm", "ha", "ht", "ht_raw")
 
 
-def near_terms(songs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Which entries hold which title or artist: ``kind, term, id, bpm``, once per different term, not per song."""
-    asked, offered = _queries_of(songs), _offers_of(entries)
-    found = _held(asked, "qt", offered, "ht", "title").unionByName(_held(asked, "qa", offered, "ha", "artist")).unionByName(
-        _held(asked, "qa", offered, "ht", "artist")
-    )
-    return found.distinct()
+def _terms_of(asked: DataFrame) -> DataFrame:
+    """Titles and artists that are looked for: ``song_id, qa, kind, term``."""
+    terms = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("term")) for kind, column in (("title", "qt"), ("artist", "qa"))])
+    return asked.select("song_id", "qa", F.inline(terms)).where("term is not null")
 
 
-def _held(asked: DataFrame, term: str, offered: DataFrame, text: str, kind: str) -> DataFrame:
-    pairs = _term_texts(asked, term, offered, text)
-    rows = splittable_join(offered.select(F.col(text).alias("text"), "id", "bpm"), pairs, ["text"])
-    return rows.select(F.lit(kind).alias("kind"), "term", "id", "bpm")
+def _texts_of(offered: DataFrame) -> DataFrame:
+    """Titles and artists that are offered: ``role, text, id, bpm``. A title is looked for in titles, an artist in both."""
+    texts = F.array(*[F.struct(F.lit(role).alias("role"), F.col(column).alias("text")) for role, column in (("title", "ht"), ("artist", "ha"))])
+    return offered.select("id", "bpm", F.inline(texts)).where("text is not null")
 
 
-def _term_texts(asked: DataFrame, term: str, offered: DataFrame, text: str) -> DataFrame:
-    terms = asked.select(F.col(term).alias("term")).where("term is not null").distinct()
-    texts = offered.select(F.col(text).alias("text")).where("text is not null").distinct()
-    return holders(terms, texts)
+_COUNTS = "kind = 'artist' OR role = 'title'"
 
 
-def _first_held(asked: DataFrame, term: str, offered: DataFrame, text: str) -> DataFrame:
-    """Per term and tempo the first entry whose ``text`` holds it; entries of one text are one before they meet terms."""
-    least = offered.groupBy(F.col(text).alias("text"), "bpm").agg(F.min("id").alias("pos"))
-    met = splittable_join(least, _term_texts(asked, term, offered, text), ["text"])
-    return met.groupBy("term", "bpm").agg(F.min("pos").alias("pos"))
+def near_terms(songs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Which entries hold which title or artist: ``kind, term, id, bpm``, once per different term, not per song."""
+    terms = _terms_of(_queries_of(songs)).select("kind", "term").distinct()
+    texts = _texts_of(_offers_of(entries))
+    pairs = splittable_join(holders(terms.select("term").distinct(), texts.select("text").distinct()), terms, ["term"])
+    found = splittable_join(texts, pairs, ["text"]).where(_COUNTS)
+    return found.select("kind", "term", "id", "bpm").distinct()
 
 
 def catalogue_firsts(songs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -220,12 +216,10 @@ def catalogue_firsts(songs: DataFrame, entries: DataFrame) -> DataFrame:
     different artist, and a song takes the earlier of the two.
     """
     asked, offered = _queries_of(songs), _offers_of(entries)
-    by_title = _first_held(asked, "qt", offered, "ht")
-    by_artist = _first_held(asked, "qa", offered, "ha").unionByName(_first_held(asked, "qa", offered, "ht"))
-    by_artist = by_artist.groupBy("term", "bpm").agg(F.min("pos").alias("pos"))
-    rows = splittable_join(asked.withColumn("term", F.col("qt")), by_title, ["term"]).unionByName(
-        splittable_join(asked.withColumn("term", F.col("qa")), by_artist, ["term"])
-    )
+    terms = _terms_of(asked)
+    texts = _texts_of(offered).withColumnRenamed("id", "pos")
+    first = first_holders(terms.select("term").distinct(), texts, ["role", "bpm"], "pos")
+    rows = splittable_join(terms, first, ["term"]).where(_COUNTS)
     firsts = rows.groupBy(F.struct("song_id", "qa", "bpm").alias("_key")).agg(F.min("pos").alias("pos"))
     named = splittable_join(
         firsts.select("_key.song_id", "_key.qa", "_key.bpm", "pos"), offered.select(F.col("id").alias("pos"), "ha", "ht_raw"), ["pos"]

@@ -129,7 +129,7 @@ VIEWS = {
         SELECT page_id, contains(article, '<b>') AS complete,
                regexp_replace(replace(regexp_replace(article, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g') AS lyrics,
                regexp_replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;?', '&', 'g') AS title,
-               regexp_replace(replace(regexp_replace(regexp_extract(article, '(?s)<b>(.*)', 1), '<[^>]*>', '', 'g'),
+               regexp_replace(replace(regexp_replace(regexp_extract(article, '(?s)<b>(.*?)(</b>|</?p>|$)', 1), '<[^>]*>', '', 'g'),
                                       '&quot;', '"'), '&amp;?', '&', 'g') AS features
         FROM plain_pages""",
     "anchors": """

@@ -4,7 +4,7 @@ import pytest
 
 from conftest import large_tables
 from songloom.operators.blocking import search_hits
-from songloom.operators.holding import holders
+from songloom.operators.holding import first_holders, holders
 from songloom.operators.matching import match_bpm, match_catalogue, without_hits
 
 # case: query artist, query title, hits (artist, title, bpm), expected bpm and status
@@ -138,3 +138,31 @@ def test_catalogue_equals_matching_on_all_pairs(spark):
     got = match_catalogue(song_rows, entry_rows).select("song_id", "bpm", "match_status").collect()
     assert sorted(map(tuple, got)) == wanted
     assert 40 in {r.song_id for r in without_hits(song_rows, entry_rows).collect()}
+
+
+def test_terms_that_share_a_common_sequence(spark):
+    """Thousands of terms and words that all hold the same letters meet only where they do."""
+    import time
+
+    count = 32_000
+    terms = spark.range(count).selectExpr("concat('the', lpad(conv(id * 7919, 10, 36), 6, 'x')) as term")
+    texts = spark.range(count).selectExpr("concat(lpad(conv(id * 104729, 10, 36), 5, 'y'), 'the', lpad(conv(id * 7919 * 3, 10, 36), 6, 'x')) as text")
+    begin = time.perf_counter()
+    got = holders(terms, texts).collect()
+    assert time.perf_counter() - begin < 60
+    asked = {r.term for r in terms.collect()}
+    wanted = [(t, x) for x, in texts.collect() for t in {x[i : i + 9] for i in range(len(x) - 8)} if t in asked]
+    assert wanted and sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_first_holders_never_meet_texts(spark):
+    """A term in most texts costs as much as the different words that hold it."""
+    rows = spark.range(200_000).selectExpr("concat('the ', id % 50) as text", "string(id % 7) as bpm", "id as pos")
+    terms = spark.createDataFrame([("the",), ("e 1",), ("the 12",), ("",), ("zz",)], "term string")
+    got = sorted(map(tuple, first_holders(terms, rows, ["bpm"], "pos").collect()))
+    wanted = {}
+    for i in range(3000):
+        for term in ("the", "e 1", "the 12", "", "zz"):
+            if term in f"the {i % 50}":
+                wanted.setdefault((term, str(i % 7)), i)
+    assert got == sorted((*k, v) for k, v in wanted.items())
