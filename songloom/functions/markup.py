@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from html import unescape
-from html.parser import HTMLParser
+
+from songloom.functions.tokens import RAW_TEXT, tokens, value_of
 
 # Elements without content, and elements whose text is not shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +46,7 @@ class Node:
             return False
         if self.css_class is None:
             return True
-        written = attrs.get("class", "")
+        written = value_of(attrs.get("class", ""))
         if self.exact:
             return written == self.css_class
         names = written.split()
@@ -61,11 +61,10 @@ class _Record:
         self.inside: set[str] = set()
 
 
-class _Reader(HTMLParser):
+class _Reader:
     """Follows the open elements and gathers the text of the wanted ones, without building a tree."""
 
     def __init__(self, nodes: tuple[Node, ...], each: Node | None) -> None:
-        super().__init__(convert_charrefs=False)
         self.nodes, self.each = nodes, each
         self.records: list[_Record] = [] if each else [_Record()]
         # One entry per open element: tag, records that end with it, texts that end with it.
@@ -75,10 +74,6 @@ class _Reader(HTMLParser):
         self.gathering: list[tuple[_Record, str]] = []
         self.hidden = 0
 
-    def parse_marked_section(self, i, report=1):
-        """Marked sections are no HTML: read over like a comment, as browsers do."""
-        return self.parse_bogus_comment(i)
-
     def _end_implied(self, tag: str) -> None:
         """Close an element that this start tag ends."""
         ends, stops = ENDED_BY[tag]
@@ -92,10 +87,20 @@ class _Reader(HTMLParser):
             if other in stops:
                 return
 
-    def handle_starttag(self, tag, attrs):
+    def read(self, page: str) -> None:
+        for kind, value, attributes, closed in tokens(page):
+            if kind == "text":
+                self._text(value)
+            elif kind == "end":
+                self._end(value)
+            else:
+                self._start(value, attributes)
+                if closed and value not in VOID and value not in RAW_TEXT:
+                    self._close()
+
+    def _start(self, tag: str, values: dict[str, str]) -> None:
         if tag in ENDED_BY:
             self._end_implied(tag)
-        values = {name: value or "" for name, value in attrs}
         begun: list[tuple[_Record, str]] = []
         for record in self.live:
             for node in self.nodes:
@@ -119,12 +124,7 @@ class _Reader(HTMLParser):
         if tag in VOID:
             self._close()
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self._close()
-
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if self.open_tags[tag]:
             while self._close() != tag:
                 pass
@@ -139,17 +139,10 @@ class _Reader(HTMLParser):
         self.gathering = [g for g in self.gathering if g not in begun] if begun else self.gathering
         return tag
 
-    def handle_data(self, data):
+    def _text(self, text: str) -> None:
         if not self.hidden:
             for record, name in self.gathering:
-                record.text[name].append(data)
-
-    def handle_entityref(self, name):
-        known = unescape(f"&{name};")
-        self.handle_data(known if known != f"&{name};" else f"&{name}")
-
-    def handle_charref(self, name):
-        self.handle_data(unescape(f"&#{name};"))
+                record.text[name].append(text)
 
 
 def node_texts(html: str | None, nodes: tuple[Node, ...], each: Node | None = None) -> list[dict[str, str]]:
@@ -157,6 +150,20 @@ def node_texts(html: str | None, nodes: tuple[Node, ...], each: Node | None = No
     if html is None:
         return []
     reader = _Reader(nodes, each)
-    reader.feed(html)
-    reader.close()
+    reader.read(html)
     return [{name: "".join(parts).strip() for name, parts in r.text.items()} for r in reader.records]
+
+
+def anchors(html: str | None, anchor_class: str | None) -> tuple[str | None, list[str]]:
+    """Base address the page names, and the different targets of its anchors, of those with that whole class (any if None)."""
+    base, found, hidden = None, {}, 0
+    for kind, tag, attributes, _ in tokens(html or ""):
+        if tag == "template" and kind != "text":
+            hidden = max(0, hidden + (1 if kind == "start" else -1))
+        if kind != "start" or hidden or "href" not in attributes:
+            continue
+        if tag == "base" and base is None:
+            base = value_of(attributes["href"])
+        elif tag == "a" and (anchor_class is None or value_of(attributes.get("class", "")) == anchor_class):
+            found[value_of(attributes["href"])] = None
+    return base, list(found)

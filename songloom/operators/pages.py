@@ -21,7 +21,8 @@ from songloom.constants import (
     TITLE_CLASS,
     UNSCRAPABLE,
 )
-from songloom.functions.markup import Node, node_texts
+from songloom.functions.addresses import resolved, tidied
+from songloom.functions.markup import Node, anchors, node_texts
 from songloom.functions.strings import first_token_int, strip
 
 SONG_PAGE = (
@@ -87,43 +88,25 @@ def search_page_hits(
     )
 
 
-def _attribute(attributes: Column, name: str) -> Column:
-    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(attributes, pattern, group) for group in (1, 2, 3)])
-    # The ampersand comes last, so that a decoded one begins no further entity.
-    for written, meant in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(written), F.lit(meant))
-    return F.when(F.regexp_like(attributes, F.lit(rf"(?is)(?:^|\s){name}\s*=")), value)
-
-
-def absolute(href: Column, page_url: Column) -> Column:
-    """Address of a link on a page."""
-    scheme = F.regexp_extract(page_url, r"^([a-zA-Z][\w+.-]*:)", 1)
-    origin = F.regexp_extract(page_url, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(page_url, r"^([a-zA-Z][\w+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return (
-        F.when(href.rlike(r"^[a-zA-Z][\w+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(folder, href))
-    )
-
-
 def page_links(
     pages: DataFrame, anchor_class: str | None = SONG_LINK_CLASS, keys: tuple[str, ...] = ("page_id",), resolve: bool = False
 ) -> DataFrame:
     """Different link targets per page, of anchors whose class attribute equals ``anchor_class`` (any if None).
 
-    Native expressions only: comments and scripts are removed, then anchors are found by pattern.
-    ``resolve`` makes targets absolute against the page's ``url``.
+    ``resolve`` makes targets absolute against the base address that the page names, or its ``url``.
     """
-    shown = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", "")
-    anchors = F.regexp_extract_all(shown, F.lit(r"""(?is)<a(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""), F.lit(1))
-    found = pages.select(*keys, *(["url"] if resolve else []), F.explode(anchors).alias("_attributes"))
-    if anchor_class is not None:
-        found = found.where(_attribute(F.col("_attributes"), "class") == anchor_class)
-    href = _attribute(F.col("_attributes"), "href")
-    links = found.select(*keys, (absolute(href, F.col("url")) if resolve else href).alias("href"))
+
+    @F.pandas_udf("base string, targets array<string>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for htmls in batches:
+            yield pd.DataFrame([anchors(html, anchor_class) for html in htmls], columns=["base", "targets"])
+
+    found = pages.select(*keys, *(["url"] if resolve else []), read("html").alias("_found"))
+    if not resolve:
+        return found.select(*keys, F.explode("_found.targets").alias("href")).distinct()
+    base = F.coalesce(resolved(tidied(F.col("_found.base")), F.col("url")), F.col("url"))
+    links = found.select(*keys, base.alias("_base"), F.explode("_found.targets").alias("href"))
+    links = links.select(*keys, resolved(tidied(F.col("href")), F.col("_base")).alias("href"))
     return links.where(F.col("href").isNotNull()).distinct()
 
 

@@ -343,6 +343,19 @@ BODIES = {
                count(*) FILTER (complete) AS titles, count(*) FILTER (complete) AS features
         FROM fields GROUP BY status""",
     "web_links": "SELECT page_id, href FROM anchors",
+    "web_link_targets": r"""
+        , targets AS (
+            SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_extract(url, '^[^#]*', 0) AS here, href
+            FROM pages JOIN anchors USING (page_id)
+        )
+        SELECT DISTINCT page_id, CASE page_id % 5
+            WHEN 0 THEN origin || href
+            WHEN 1 THEN origin || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]*/$', '') || href[2:]
+            WHEN 2 THEN origin || path || '?p=2&to=' || href
+            WHEN 3 THEN here || '#t'
+            ELSE origin || regexp_replace(path, '[^/]*$', '') || href[2:] END AS href
+        FROM targets""",
     "web_result_count": """
         SELECT page_id, expected, count(href) AS found, count(href) >= expected AS complete
         FROM headers LEFT JOIN anchors USING (page_id) GROUP BY page_id, expected""",

@@ -613,6 +613,12 @@ def web_links(spark, sf_dir):
     return web.page_links(views.pages(spark, sf_dir), None)
 
 
+@query
+def web_link_targets(spark, sf_dir):
+    """Targets written in five ways, made absolute."""
+    return web.page_links(views.relative_pages(spark, sf_dir), None, resolve=True)
+
+
 @query
 def web_result_count(spark, sf_dir):
     return web.link_completeness(views.page_headers(spark, sf_dir), web.page_links(views.pages(spark, sf_dir), None))

@@ -134,6 +134,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages")).select("page_id", "url", html.alias("html"))
 
 
+def relative_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose links are written relative to the page, in a way that depends on the page."""
+    ways = ['<a href="', '<a href="..', '<a title="href=no" HREF="?p=2&amp;to=', "<a href='#t' href=\"", '<a href=" ./.']
+    html = F.lit(None).cast("string")
+    for rest, way in enumerate(ways):
+        html = F.when(F.col("page_id") % len(ways) == rest, F.replace("html", F.lit('<a href="'), F.lit(way))).otherwise(html)
+    return spread(table(spark, sf_dir, "pages")).select("page_id", "url", html.alias("html"))
+
+
 def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header text of a page: its number of list items, one too many on some pages."""
     items = F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0)))

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from songloom.functions import addresses
 from songloom.functions.markup import Node, node_texts
+from songloom.functions.tokens import text_of, tokens, value_of
 from songloom.operators import pages
 
 LYRICS = '<div class="x song_body-lyrics"> a <b>b</b> &amp; c<!-- no --><script>var s = "</div>"; </script> </div>'
@@ -67,12 +69,61 @@ def test_links(spark):
     assert full == ["https://h.example/a/y", "https://h.example/a/z", "https://h.example/x?a=1&b=2"]
 
 
-def test_absolute(spark):
-    base = F.lit("https://h.example/a/b?x=/y")
-    df = spark.createDataFrame([("http://o/",), ("//o/p",), ("/p",), ("p",)], "h string")
-    assert [r[0] for r in df.select(pages.absolute(F.col("h"), base)).collect()] == [
-        "http://o/", "https://o/p", "https://h.example/p", "https://h.example/a/p",
+# The examples of RFC 3986, 5.4, against http://a/b/c/d;p?q
+EXAMPLES = {
+    "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g",
+    "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s",
+    ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "g;x?y#s": "http://a/b/c/g;x?y#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/",
+    "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/",
+    "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+    "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g",
+    "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y",
+    "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/./x": "http://a/b/c/g#s/./x",
+    "g#s/../x": "http://a/b/c/g#s/../x", "http:g": "http:g",
+}
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([(h, w) for h, w in EXAMPLES.items()], "h string, wanted string")
+    got = df.select("h", "wanted", addresses.resolved(F.col("h"), F.lit("http://a/b/c/d;p?q")).alias("got")).collect()
+    assert [(r.h, r.got) for r in got] == [(r.h, r.wanted) for r in got]
+    bare = df.limit(0).unionByName(spark.createDataFrame([("?p=2", "http://a?p=2"), ("g", "http://a/g"), ("", "http://a"), (None, None)], df.schema))
+    got = bare.select("wanted", addresses.resolved(F.col("h"), F.lit("http://a")).alias("got")).collect()
+    assert [r.got for r in got] == [r.wanted for r in got]
+    unknown = df.where("h = '../g'").select(addresses.resolved(F.col("h"), F.lit(None).cast("string")))
+    assert unknown.first()[0] is None
+
+
+def test_targets_on_a_page(spark):
+    html = '<a href="../z"><a href=" ?p=2 "><a href="#t"><a href=""><a href="a\nb"><a name=x><template><a href=no></template>'
+    got = sorted(r.href for r in pages.page_links(table(spark, html), None, resolve=True).collect())
+    page = "https://h.example/a/p0?q=1"
+    assert got == sorted(["https://h.example/z", "https://h.example/a/p0?p=2", page + "#t", page, "https://h.example/a/ab"])
+    based = pages.page_links(table(spark, '<base href="/x/"><base href="/y/"><a href="z">'), None, resolve=True).collect()
+    assert [r.href for r in based] == ["https://h.example/x/z"]
+
+
+def test_attributes_and_references():
+    starts = lambda html: [(t[1], t[2]) for t in tokens(html) if t[0] == "start"]
+    assert starts("""<a title="x class='b' href=y" CLASS=c class=d href = '1>2' e/>""") == [
+        ("a", {"title": "x class='b' href=y", "class": "c", "href": "1>2", "e": ""})
     ]
+    assert starts('<p a="unclosed><b>') == [] and starts("<p a=1") == [] and starts("< p>") == []
+    assert value_of("?x=1&copy=2&amp;y&lt&notit;&#65;&ampz&amp") == "?x=1&copy=2&y<&notit;A&ampz&"
+    assert text_of("&lt;&eacute;&nosuch;&amp &ampx &#x41;") == "<é&nosuch& &x A"
+    text = lambda html: "".join(t[1] for t in tokens(html) if t[0] == "text")
+    assert text("a<!-->b<!--->c<!-- x --!>d<!-- --> <? q>e</>f</ x>g< h <3") == "abcd efg< h <3"
+    assert text("<title><b>&amp;</title><script>'</p>' a<b</SCRIPT >z<style>q") == "<b>&'</p>' a<bzq"
+
+
+def test_time_is_linear_in_anything():
+    import time
+
+    for odd in ("<a", '<a b="', "<li><a href=x>y", "<a b ", "<main>", "<!--", "<!---->", "<", "</", "<script>", "<a ===", "&", "&a", "<title></title", "<![x"):
+        begin = time.perf_counter()
+        for _ in tokens(odd * 100_000):
+            pass
+        assert time.perf_counter() - begin < 4, odd
 
 
 def test_link_completeness(spark):
