@@ -17,7 +17,6 @@ EXAMPLE_TEMPLATE = "### Question: {question}\n ### Answer: {answer}"
 WINDOW_LENGTH = 40
 WINDOW_STEP = 3
 TOKEN_CAP = 40
-CHECKPOINT_ROWS = 25
 
 # Temperatures of the sampling sweep.
 TEMPERATURES = (0.1, 0.25, 0.5, 0.75, 0.9, 1.0, 1.2, 1.5, 2.0)

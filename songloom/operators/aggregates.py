@@ -18,6 +18,14 @@ def songs_per_artist(df: DataFrame) -> DataFrame:
     return df.groupBy("artist").agg(F.count("*").alias("songs"))
 
 
+def selection_counts(df: DataFrame, dropped: Column, artist: str = "artist") -> DataFrame:
+    """One row: rows kept, rows dropped by the condition, and different artists among those kept."""
+    gone = F.coalesce(dropped, F.lit(False))
+    return df.agg(
+        F.count_if(~gone).alias("kept"), F.count_if(gone).alias("dropped"), F.count_distinct(F.when(~gone, F.col(artist))).alias("artists")
+    )
+
+
 def distinct_artists(df: DataFrame) -> DataFrame:
     """The artists that occur, sorted."""
     return df.where(F.col("artist").isNotNull()).select("artist").distinct().orderBy("artist")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +93,7 @@ def corpus_pieces(
     without large gaps.
     """
     rows = df.select(
-        F.col(group), F.col(order), F.lower(text).alias("text"), F.floor(F.col(order) / chunk_rows).alias("_chunk")
+        F.col(group), F.col(order), F.lower(text).alias("text"), ((F.col(order) - F.pmod(order, F.lit(chunk_rows))).cast("bigint")).alias("_chunk")
     ).where(F.col("text") != "")
     chunk_key = [group, "_chunk"]
 
@@ -106,7 +110,7 @@ def corpus_pieces(
     )
     if not lookahead:
         offsets = chunks.select(*chunk_key, base.alias("_base"))
-        placed = rows.withColumn("_before", before).join(offsets, chunk_key)
+        placed = _with_offsets(rows.withColumn("_before", before), offsets, chunk_key)
         return placed.select(group, order, (F.col("_base") + F.col("_before")).alias("offset"), "text")
 
     # Every piece and every chunk has a character at least, so the next ``lookahead`` of them suffice.
@@ -119,7 +123,7 @@ def corpus_pieces(
         F.array_join(F.collect_list("_head").over(in_group.rowsBetween(*following)), "").alias("_after"),
     )
     nearby = F.collect_list(F.substring("text", 1, lookahead)).over(in_chunk.rowsBetween(*following))
-    placed = rows.select("*", before.alias("_before"), F.array_join(nearby, "").alias("_near")).join(offsets, chunk_key)
+    placed = _with_offsets(rows.select("*", before.alias("_before"), F.array_join(nearby, "").alias("_near")), offsets, chunk_key)
     return placed.select(
         group,
         order,
@@ -129,6 +133,15 @@ def corpus_pieces(
     )
 
 
+def _with_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join in which a null group is a group like any other."""
+    named = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in offsets.columns if c not in keys])
+    alike = F.lit(True)
+    for key in keys:
+        alike = alike & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    return rows.join(named, alike).drop(*[f"_of_{k}" for k in keys])
+
+
 def corpus_windows(
     df: DataFrame,
     group: str,
@@ -216,6 +229,62 @@ def encoded_windows(
     )
 
 
+def one_hot_tensors(coded: DataFrame, keys: list[str], size: int, rows: int = 1024) -> DataFrame:
+    """Coded windows as dense boolean tensors in shards of at most ``rows`` windows, eight cells to a byte.
+
+    A shard has the ``keys`` of its windows in order, their number ``n`` and ``length``, the cells ``x`` of n windows by length
+    places by ``size`` characters, and ``y`` of n by ``size``. ``tensor_of`` opens them. A shard is made from rows as they
+    stand: no shuffle, and memory is bound by ``rows``.
+    """
+    named = [f"{k} {coded.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, rows):
+                batch = whole.slice(begin, rows)
+                n = batch.num_rows
+                codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                x = np.zeros((n, codes.shape[1], size), bool)
+                np.put_along_axis(x, codes[:, :, None], True, axis=2)
+                y = np.zeros((n, size), bool)
+                y[np.arange(n), batch.column("label").to_numpy(zero_copy_only=False)] = True
+                held = pa.StructArray.from_arrays([batch.column(k) for k in keys], keys)
+                listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), held)
+                cells = [pa.array([np.packbits(t).tobytes()], pa.binary()) for t in (x, y)]
+                yield pa.RecordBatch.from_arrays(
+                    [listed, pa.array([n], pa.int32()), pa.array([codes.shape[1]], pa.int32()), *cells], ["windows", "n", "length", "x", "y"]
+                )
+
+    chosen = coded.select(*keys, "codes", "label")
+    return chosen.mapInArrow(run, f"windows array<struct<{', '.join(n.replace(' ', ':', 1) for n in named)}>>, n int, length int, x binary, y binary")
+
+
+def tensor_of(cells: bytes, *shape: int) -> np.ndarray:
+    """Boolean tensor of a shard."""
+    return np.unpackbits(np.frombuffer(cells, np.uint8), count=int(np.prod(shape))).reshape(shape).astype(bool)
+
+
+def hot_counts(tensors: DataFrame, size: int) -> DataFrame:
+    """How many windows have which code at which ``place``; the next character stands at the place after the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = tensor_of(row["x"], row["n"], row["length"], size), tensor_of(row["y"], row["n"], size)
+                counts = np.vstack([x.sum(0), y.sum(0)])
+                total[row["length"]] = total.get(row["length"], 0) + counts
+        for counts in total.values():
+            place, code = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(counts[place, code].astype(np.int64))],
+                ["place", "code", "n"],
+            )
+
+    parts = tensors.select("n", "length", "x", "y").mapInArrow(run, "place int, code int, n long")
+    return parts.groupBy("place", "code").agg(F.sum("n").alias("n"))
+
+
 def one_hot(code: Column, size: int | Column) -> Column:
     """Dense boolean vector of a code; for small exports only."""
     size = size if isinstance(size, Column) else F.lit(size)

@@ -42,6 +42,11 @@ def of_section_wide(wide: DataFrame, section: str) -> DataFrame:
     return wide.where(F.col(f"`{section}`").isNotNull()).withColumn("bpm", bpm_number("bpm"))
 
 
+def long_of_section(wide: DataFrame, section: str, keys: Iterable[str] = ("artist", "title")) -> DataFrame:
+    """As unpivoting and ``of_section`` give it, but the other sections are never read and no row is multiplied."""
+    return of_section_wide(wide, section).select(*keys, "bpm", F.lit(section).alias("section"), F.col(f"`{section}`").alias("text"))
+
+
 def of_artists(df: DataFrame, artists: Iterable[str] | DataFrame, column: str = "artist") -> DataFrame:
     """Rows of the selected artists, given as a list or as a table with that column."""
     if isinstance(artists, DataFrame):
@@ -112,6 +117,55 @@ def check_range(df: DataFrame, low: int, high: int) -> None:
             raise ValueError(f"{end} lies outside the tempos {bounds.low} to {bounds.high}")
 
 
+def domain_findings(chosen: DataFrame, artists: Iterable[str] = (), bpm_range: tuple[int, int] | None = None) -> DataFrame:
+    """One row on a selection: ``n`` rows, the artists asked for that are ``missing``, and the tempos of those there.
+
+    The range is checked against the rows of the artists asked for (of all, if none are named). What the row holds is
+    bound by the number of artists asked for.
+    """
+    wanted = sorted(set(artists))
+    asked = F.array(*map(F.lit, wanted)).cast("array<string>")
+    mine = F.col("artist").isin(wanted) if wanted else F.lit(True)
+    found = chosen.agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.array_except(asked, F.collect_set(F.when(mine & F.lit(bool(wanted)), F.col("artist"))))).alias("missing"),
+        F.min(F.when(mine, F.col("bpm"))).alias("min_bpm"),
+        F.max(F.when(mine, F.col("bpm"))).alias("max_bpm"),
+    )
+    low, high = bpm_range if bpm_range is not None else (None, None)
+    inside = lambda end: F.coalesce(F.lit(end).between(F.col("min_bpm"), F.col("max_bpm")), F.lit(False)) if end is not None else F.lit(True)
+    return found.select("*", inside(low).alias("low_ok"), inside(high).alias("high_ok"))
+
+
+def checked(chosen: DataFrame, artists: Iterable[str] = (), bpm_range: tuple[int, int] | None = None) -> DataFrame:
+    """The same rows in a plan that fails when it is run on a selection without rows, an artist or an end of the range.
+
+    All checks are one aggregate inside the plan; no job runs before it, and nothing is brought to the driver.
+    """
+    found = domain_findings(chosen, artists, bpm_range)
+    wrong = (
+        F.when(F.col("n") == 0, F.lit("no rows of that section"))
+        .when(F.size("missing") > 0, F.concat(F.lit("no such artists: "), F.array_join("missing", ", ")))
+        .when(~(F.col("low_ok") & F.col("high_ok")), F.concat(
+            F.lit("range outside the tempos "), F.coalesce(F.concat_ws(" to ", "min_bpm", "max_bpm"), F.lit("of no rows"))
+        ))
+    )
+    passed = found.select(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)).alias("passed"))
+    return chosen.where(passed.scalar())
+
+
+def checked_slice(
+    wide: DataFrame, section: str, artists: Iterable[str] = (), bpm_range: tuple[int, int] | None = None, keys: Iterable[str] = ("artist", "title")
+) -> DataFrame:
+    """Selection by artist, by tempo or by both from a wide catalogue; wrong parameters fail the plan (see ``checked``)."""
+    if section not in section_columns(wide, {*NON_SECTION_COLUMNS, *keys}):
+        raise ValueError(f"no such section: {section}")
+    artists = list(artists)
+    chosen = checked(long_of_section(wide, section, keys), artists, bpm_range)
+    chosen = of_artists(chosen, artists) if artists else chosen
+    return in_bpm_range(chosen, *bpm_range) if bpm_range is not None else chosen
+
+
 def select_slice(
     catalogue: DataFrame,
     section: str,

@@ -194,6 +194,17 @@ BODIES = {
         SELECT row_idx, artist, title, bpm, text FROM english
         WHERE artist IN ('src1', 'src7') AND bpm <=
             (SELECT (min(bpm) + max(bpm)) // 2 FROM english WHERE artist IN ('src1', 'src7'))""",
+    "flt_slice": """
+        SELECT row_idx, artist, title, bpm, section, text FROM english
+        WHERE artist IN ('src1', 'src3', 'src5', 'src7') AND bpm BETWEEN 0 AND 100""",
+    "chk_slice": """
+        , mine AS (SELECT * FROM english WHERE artist IN ('src1', 'nobody', 'src7', 'no one'))
+        SELECT (SELECT count(*) FROM english) AS n,
+               (SELECT string_agg(a, ',' ORDER BY a) FROM unnest(['src1', 'nobody', 'src7', 'no one']) u(a)
+                WHERE a NOT IN (SELECT artist FROM english)) AS missing,
+               min(bpm) AS min_bpm, max(bpm) AS max_bpm, 0 BETWEEN min(bpm) AND max(bpm) AS low_ok,
+               1000000 BETWEEN min(bpm) AND max(bpm) AS high_ok
+        FROM mine""",
     "flt_bpm_known": """
         SELECT row_idx, section, n.bpm FROM catalogue c JOIN coerced n USING (row_idx)
         WHERE c.bpm IS NULL OR (c.bpm <> 'BOOKMARKED' AND c.bpm <> '0')""",
@@ -203,7 +214,9 @@ BODIES = {
     "chk_domain": "SELECT c_custkey::VARCHAR AS artist FROM customer EXCEPT SELECT user_id::VARCHAR FROM events",
     "cst_bpm": "SELECT * FROM coerced",
     "cst_str": """
-        SELECT row_idx::VARCHAR AS row_idx, coalesce(bpm, 'nan') AS bpm, coalesce(en, 'nan') AS en FROM catalogue_wide""",
+        SELECT row_idx::VARCHAR AS row_idx, coalesce(artist, 'nan') AS artist, coalesce(title, 'nan') AS title, coalesce(bpm, 'nan') AS bpm,
+               coalesce(en, 'nan') AS en, coalesce(fr, 'nan') AS fr, coalesce(de, 'nan') AS de, coalesce(es, 'nan') AS es
+        FROM catalogue_wide""",
     "cst_int": """
         SELECT id, try_cast(bpm AS BIGINT) AS bpm,
                CASE WHEN try_cast(bpm AS BIGINT) IS NULL THEN 'INVALID_BPM' ELSE 'ok' END AS status FROM entries""",
@@ -242,6 +255,10 @@ BODIES = {
     "match_bpm": "SELECT * FROM decided",
     "agg_range": "SELECT min(bpm) AS min_bpm, max(bpm) AS max_bpm FROM english",
     "agg_counts": "SELECT artist, count(*) AS songs FROM english GROUP BY artist",
+    "agg_selection_counts": """
+        SELECT count(*) FILTER (Lyrics IS DISTINCT FROM 'Unfinished') AS kept, count(*) FILTER (Lyrics = 'Unfinished') AS dropped,
+               count(DISTINCT Artist) FILTER (Lyrics IS DISTINCT FROM 'Unfinished') AS artists
+        FROM lyrics""",
     "agg_distinct_artists": "SELECT DISTINCT artist FROM english",
     "agg_summary": """
         SELECT artist, min(bpm) AS min_bpm, max(bpm) AS max_bpm, count(*) AS songs, count(DISTINCT artist) AS artists
@@ -319,9 +336,11 @@ BODIES = {
                sum(c39)::BIGINT AS codes_39
         FROM seen WHERE place >= 40 AND (place - 40) % 3 = 0 GROUP BY idx""",
     "txt_onehot": """
-        SELECT v.ch, v.n, place::INT AS place, v.idx = place AS hot
-        FROM (SELECT ch, count(*) AS n, any_value(idx) AS idx FROM chars JOIN vocab USING (ch) GROUP BY ch) v,
-             unnest(range(0, (SELECT count(*) FROM vocab))) u(place)""",
+        , sizes AS (SELECT doc_id, length(t) AS size FROM low),
+        placed AS (SELECT doc_id, origin + i AS spot, idx, size FROM blocks JOIN sizes USING (doc_id), unnest(range(0, least(length(t), 600))) u(i)
+                   JOIN vocab ON vocab.ch = substr(t, i::INT + 1, 1))
+        SELECT p::INT AS place, idx::INT AS code, count(*) AS n FROM placed, unnest(range(0, 41)) w(p)
+        WHERE spot >= p AND (spot - p) % 3 = 0 AND spot - p + 40 < size GROUP BY p, idx""",
     "txt_nextchar_dist": "SELECT context, ch, n, round(p, 9) AS p FROM next_chars",
     "smp_temperature": """
         SELECT context, ch, round(p * p / sum(p * p) OVER (PARTITION BY context), 9) AS p FROM next_chars""",
@@ -368,10 +387,13 @@ BODIES = {
         SELECT page_id, pos, lower(name) AS artist_name, lower(name) AS song_name, name AS bpm FROM named""",
     "inc_worklist": "SELECT artist FROM remaining",
     "inc_stage": """
-        , work AS (SELECT 0::BIGINT AS link_work, (SELECT count(*) FROM (
+        , work AS (SELECT (SELECT count(*) FROM (
+            SELECT c_custkey::VARCHAR FROM customer EXCEPT
+            (SELECT Artist FROM links EXCEPT SELECT Artist FROM links WHERE Link = 'Unfinished'))) AS link_work, (SELECT count(*) FROM (
             SELECT source FROM documents EXCEPT
             (SELECT Artist FROM lyrics EXCEPT SELECT Artist FROM lyrics WHERE Lyrics = 'Unfinished'))) AS lyric_work)
-        SELECT link_work, lyric_work, CASE WHEN lyric_work > 0 THEN 'lyrics' ELSE 'done' END AS stage FROM work""",
+        SELECT link_work, lyric_work, CASE WHEN link_work > 0 THEN 'links' WHEN lyric_work > 0 THEN 'lyrics' ELSE 'done' END AS stage
+        FROM work""",
     "inc_resume_links": """
         SELECT row_idx, Link, Artist FROM (
             SELECT * FROM links WHERE Link <> 'Unfinished' UNION ALL
@@ -390,6 +412,12 @@ BODIES = {
     "inc_skip_done": "SELECT row_idx, Rappers, Songs FROM bpms WHERE BPM = 'YEEHAW'",
     "inc_checkpoint": "SELECT row_idx, Link, Artist FROM stamped_links WHERE rank = 1 AND Link <> 'Unfinished'",
     "inc_dedup_stream": "SELECT DISTINCT Link, Artist FROM links",
+    "merge_catalogue": """
+        SELECT row_number() OVER (ORDER BY c.artist NULLS LAST, c.title NULLS LAST, c.row_idx) - 1 AS place, c.row_idx, c.artist, c.title,
+               b.BPM AS bpm, c.en, c.fr, c.de, c.es
+        FROM catalogue_wide c LEFT JOIN
+            (SELECT * FROM bpms QUALIFY row_number() OVER (PARTITION BY Rappers, Songs ORDER BY row_idx) = 1) b
+        ON b.Rappers = c.artist AND b.Songs = replace(c.title, ',', '')""",
     "training_text": """
         SELECT '### Question: Write a en like ' || artist || chr(10) || ' ### Answer: ' || text AS text
         FROM english WHERE artist IN ('src1', 'src7') AND bpm BETWEEN 0 AND 150""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from songloom.constants import NOT_SEARCHED, UNFINISHED
 from songloom.functions import coercion, maths, strings
 from songloom.operators import aggregates as agg
-from songloom.operators import blocking, corpus, joins, matching, ordering, sampling, selection
+from songloom.operators import blocking, corpus, joins, matching, merging, ordering, sampling, selection
 from songloom.operators import pages as web
 from songloom.plans import views
 from songloom.session import new_dir
@@ -120,7 +120,7 @@ def prj_unpivot(spark, sf_dir):
 
 @query
 def flt_section(spark, sf_dir):
-    return selection.of_section(views.catalogue(spark, sf_dir), "en").select("row_idx", "artist", "title", "bpm", "text")
+    return _english(spark, sf_dir).select("row_idx", "artist", "title", "bpm", "text")
 
 
 @query
@@ -130,13 +130,13 @@ def prj_select(spark, sf_dir):
 
 @query
 def flt_artists(spark, sf_dir):
-    chosen = selection.of_section(views.catalogue(spark, sf_dir), "en")
+    chosen = _english(spark, sf_dir)
     return selection.of_artists(chosen, ["src1", "src7", "src1"]).select("row_idx", "artist", "title", "text")
 
 
 @query
 def flt_bpm_range(spark, sf_dir):
-    chosen = selection.of_section(views.catalogue(spark, sf_dir), "en")
+    chosen = _english(spark, sf_dir)
     return selection.in_bpm_range(chosen, 90, 150).select("row_idx", "artist", "title", "bpm", "text")
 
 
@@ -150,6 +150,20 @@ def flt_both(spark, sf_dir):
     return selection.in_bpm_range(chosen, low, middle).select("row_idx", "artist", "title", "bpm", "text")
 
 
+@query
+def flt_slice(spark, sf_dir):
+    """A slice by artists and tempo whose parameters the plan itself checks."""
+    wide = views.catalogue_wide(spark, sf_dir)
+    return selection.checked_slice(wide, "en", ["src1", "src3", "src5", "src7"], (0, 100), ["row_idx", "artist", "title"])
+
+
+@query
+def chk_slice(spark, sf_dir):
+    """What the checks find on parameters of which some are wrong."""
+    found = selection.domain_findings(_english(spark, sf_dir), ["src1", "nobody", "src7", "no one"], (0, 1_000_000))
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
 @query
 def flt_bpm_known(spark, sf_dir):
     return selection.with_known_bpm(views.catalogue(spark, sf_dir)).select("row_idx", "section", "bpm")
@@ -190,9 +204,8 @@ def cst_bpm(spark, sf_dir):
 
 @query
 def cst_str(spark, sf_dir):
-    return views.catalogue_wide(spark, sf_dir).select(
-        coercion.as_text("row_idx").alias("row_idx"), coercion.as_text("bpm").alias("bpm"), coercion.as_text("en").alias("en")
-    )
+    wide = views.catalogue_wide(spark, sf_dir)
+    return wide.select(*[coercion.as_text(c).alias(c) for c in wide.columns])
 
 
 @query
@@ -330,7 +343,7 @@ def match_bpm(spark, sf_dir):
 
 
 def _english(spark, sf_dir):
-    return selection.of_section(views.catalogue(spark, sf_dir), "en")
+    return selection.long_of_section(views.catalogue_wide(spark, sf_dir), "en", ["row_idx", "artist", "title"])
 
 
 @query
@@ -343,6 +356,11 @@ def agg_counts(spark, sf_dir):
     return agg.songs_per_artist(_english(spark, sf_dir))
 
 
+@query
+def agg_selection_counts(spark, sf_dir):
+    return agg.selection_counts(views.lyrics(spark, sf_dir), F.col("Lyrics") == UNFINISHED, "Artist")
+
+
 @query
 def agg_distinct_artists(spark, sf_dir):
     return agg.distinct_artists(_english(spark, sf_dir))
@@ -560,12 +578,12 @@ def txt_encode(spark, sf_dir):
 
 @query
 def txt_onehot(spark, sf_dir):
-    """Dense vectors of the characters that occur, with their numbers of occurrences."""
-    docs = views.spread_documents(spark, sf_dir, "text")
+    """Dense tensors of all windows, added up over the windows."""
+    docs = views.spread_documents(spark, sf_dir, "doc_id", "text")
     vocab = corpus.vocabulary(docs)
-    coded = corpus.with_codes(corpus.character_counts(docs), vocab)
-    sized = coded.withColumn("size", vocab.agg(F.count("*").cast("int")).scalar())
-    return sized.select("ch", "n", F.posexplode(corpus.one_hot(F.col("idx"), F.col("size"))).alias("place", "hot"))
+    size = vocab.count()  # at most as many as Unicode has characters
+    tensors = corpus.one_hot_tensors(corpus.encoded_windows(docs, ["doc_id"], vocab), ["doc_id", "start"], size)
+    return corpus.hot_counts(tensors, size)
 
 
 @query
@@ -643,9 +661,9 @@ def _artists(spark, sf_dir):
 
 @query
 def inc_stage(spark, sf_dir):
-    done = views.catalogue_wide(spark, sf_dir).select(F.col("artist").alias("Artist"), F.lit("ok").alias("Link"))
+    users = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("artist"))
     return resume.next_stage(
-        resume.link_worklist(_artists(spark, sf_dir), done),
+        resume.link_worklist(users, views.links(spark, sf_dir)),
         resume.lyric_worklist(_artists(spark, sf_dir), views.lyrics(spark, sf_dir)),
     )
 
@@ -706,14 +724,22 @@ def inc_checkpoint(spark, sf_dir):
 @query
 def inc_dedup_stream(spark, sf_dir):
     base = new_dir(spark, "links")
-    stream = incremental.distinct_links(_event_links(spark, sf_dir).select("Link", "Artist"))
-    incremental.run_to_table(stream, f"{base}/table", f"{base}/checkpoint")
+    incremental.collect_distinct(_event_links(spark, sf_dir), f"{base}/table", f"{base}/checkpoint", ["Link", "Artist"])
     return spark.read.parquet(f"{base}/table").select("Link", "Artist")
 
 
 # Whole path
 
 
+@query
+def merge_catalogue(spark, sf_dir):
+    """Songs with their tempos, sorted, written and read back in order."""
+    path = new_dir(spark, "catalogue")
+    merged = merging.merged_catalogue(views.catalogue_wide(spark, sf_dir), views.bpms(spark, sf_dir))
+    merging.write_catalogue(merged, path)
+    return merging.read_catalogue(spark, path).withColumn("row_idx", F.col("row_idx").cast("bigint"))
+
+
 @query
 def training_text(spark, sf_dir):
     """Flagship: section, artists and tempo range chosen, turned into training text."""

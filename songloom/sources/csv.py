@@ -42,9 +42,9 @@ def read_csv_indexed(spark: SparkSession, path: str | list[str], index: str = "r
     return df.select(F.col(f"`{first}`").try_cast("bigint").alias(index), *[F.col(f"`{c}`") for c in rest])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write CSV without a position column, each partition to its own file."""
-    df.write.mode(mode).options(**_FORMAT, quoteAll="true", nullValue="", emptyValue="").csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", file_rows: int = 0) -> None:
+    """Write CSV without a position column, each partition to its own file, or to files of at most ``file_rows`` rows."""
+    df.write.mode(mode).options(**_FORMAT, quoteAll="true", nullValue="", emptyValue="", maxRecordsPerFile=file_rows).csv(path)
 
 
 def write_csv_indexed(df: DataFrame, path: str, index: str = "row_idx", mode: str = "overwrite") -> None:

@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from songloom.constants import CHECKPOINT_ROWS, UNFINISHED
+from songloom.constants import UNFINISHED
+from songloom.operators.equijoin import free_name
 from songloom.operators.ordering import keep_first
 
+#: Bytes of new files that one micro-batch takes in before its rows are saved.
+BATCH_BYTES = 1 << 30
+
 
 def link_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = CHECKPOINT_ROWS, only: str = "*"
+    spark: SparkSession, path: str, schema: T.StructType, bytes_per_batch: int = BATCH_BYTES, only: str = "*"
 ) -> DataFrame:
-    """Parquet files of new rows in a folder as a stream; ``only`` is a pattern of file names."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    """Parquet files of new rows in a folder as a stream; ``only`` is a pattern of file names.
+
+    Files are taken in by their time of change, as many per micro-batch as fit ``bytes_per_batch`` (one at least):
+    many small files are one batch, and a backlog is saved every so many bytes.
+    """
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).option("latestFirst", "false")
     return reader.option("pathGlobFilter", only).parquet(path)
 
 
@@ -56,6 +64,28 @@ def distinct_links(stream: DataFrame, event_time: str | None = None, delay: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def collect_distinct(stream: DataFrame, table: str, checkpoint: str, keys: list[str]) -> None:
+    """Append each new key to a table, in one folder per micro-batch, with no state in the stream.
+
+    What is known already is what the folders of earlier micro-batches hold, so a copy may come at any time later and
+    is dropped, and memory does not grow with the keys seen. A batch is made different first and then meets the keys of the
+    table once; large batches (``bytes_per_batch``) keep these meetings few. A batch that is run again after a failure
+    looks at earlier folders alone and overwrites its own. Null keys are keys like any other.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        new = batch.select(*keys).distinct()
+        if number:
+            name = free_name("_key", new)
+            known = batch.sparkSession.read.parquet(table).where(F.col("batch_id") < number).select(F.struct(*keys).alias(name))
+            new = new.withColumn(name, F.struct(*keys)).join(known, name, "left_anti").drop(name)
+        new.write.mode("overwrite").parquet(f"{table}/batch_id={number}")
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+
+
 def run_to_table(stream: DataFrame, table: str, checkpoint: str) -> None:
     """Process all rows there are and append the result to a Parquet table."""
     stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode(

@@ -145,3 +145,39 @@ def test_sweep_sharpens_at_low_temperature(spark):
     rows = sampling.sweep(dist, ["context"], [0.1, 2.0], draws=500, seed=3).where("ch = 'a'").groupBy("temperature").count().collect()
     share = {r.temperature: r["count"] / 500 for r in rows}
     assert share[0.1] > 0.98 > 0.75 > share[2.0]
+
+
+def test_one_hot_windows(spark):
+    rows = [(1, "abcabca"), (2, "cab"), (3, None), (4, "bbbbbbbbb"), (4, "abcab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = corpus.vocabulary(docs)
+    coded = corpus.encoded_windows(docs, ["doc_id"], vocab, length=4, step=2)
+    shards = corpus.one_hot_tensors(coded, ["doc_id", "start"], 3, rows=2).collect()
+    assert shards and all(s.n <= 2 and s.length == 4 for s in shards)
+    got = []
+    for s in shards:
+        x, y = corpus.tensor_of(s.x, s.n, 4, 3), corpus.tensor_of(s.y, s.n, 3)
+        assert (x.sum(2) == 1).all() and (y.sum(1) == 1).all()
+        for w, a, b in zip(s.windows, x, y):
+            got.append((w.doc_id, w.start, "".join("abc"[c] for c in a.argmax(1)), "abc"[b.argmax()]))
+    want = [(i, at, t[at : at + 4], t[at + 4]) for i, t in rows if t for at in range(0, len(t) - 4, 2)]
+    assert sorted(got) == sorted(want)
+    counts = {}
+    for _, _, text, label in want:
+        for place, ch in enumerate(text + label):
+            counts[place, "abc".index(ch)] = counts.get((place, "abc".index(ch)), 0) + 1
+    found = corpus.hot_counts(corpus.one_hot_tensors(coded, ["doc_id"], 3, rows=3), 3).collect()
+    assert {(r.place, r.code): r.n for r in found} == counts
+
+
+def test_null_group_is_a_group(spark):
+    rows = [(None, i, f"x{i}") for i in range(9)] + [("a", 9 + i, f"y{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "artist string, row_idx long, text string")
+    for ahead in (0, 3):
+        placed = corpus.corpus_pieces(df, "artist", lookahead=ahead, chunk_rows=2).collect()
+        for artist in (None, "a"):
+            mine = sorted((r.offset, r.text) for r in placed if r.artist == artist)
+            assert "".join(t for _, t in mine) == "".join(t for a, _, t in rows if a == artist)
+            assert [o for o, _ in mine] == list(range(0, 2 * len(mine), 2))
+    windows = corpus.corpus_windows(df, "artist", length=4, step=3, chunk_rows=2).where("artist is null").count()
+    assert windows == len(range(0, 18 - 4, 3))

@@ -69,6 +69,13 @@ def feed(spark, tmp_path):
     return rows, str(tmp_path / "in"), tmp_path
 
 
+def two_files(source):
+    """Bytes of the two largest files: so much lets two or three in, never all six."""
+    from pathlib import Path
+
+    return sum(sorted(f.stat().st_size for f in Path(source).glob("*.parquet"))[-2:])
+
+
 def first_of_each(rows):
     seen = {}
     for i, link, artist in rows:
@@ -80,7 +87,7 @@ def first_of_each(rows):
 def test_collected_links_over_micro_batches(spark, feed):
     rows, source, base = feed
     table, checkpoint = str(base / "table"), str(base / "checkpoint")
-    stream = incremental.link_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=2)
+    stream = incremental.link_stream(spark, source, spark.read.parquet(source).schema, bytes_per_batch=two_files(source))
     incremental.collect_links(stream, table, checkpoint)
     assert spark.read.parquet(table).select("batch_id").distinct().count() == 3
     got = {(r.Link, r.Artist) for r in incremental.collected_links(spark, table).collect()}
@@ -97,7 +104,7 @@ def test_collected_links_over_micro_batches(spark, feed):
 
 def test_distinct_links_stream(spark, feed):
     rows, source, base = feed
-    stream = incremental.link_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=2)
+    stream = incremental.link_stream(spark, source, spark.read.parquet(source).schema, bytes_per_batch=two_files(source))
     incremental.run_to_table(incremental.distinct_links(stream.select("Link", "Artist")), str(base / "out"), str(base / "cp"))
     got = sorted(map(tuple, spark.read.parquet(str(base / "out")).collect()))
     assert got == sorted({(link, artist) for _, link, artist in rows})
@@ -111,3 +118,47 @@ def test_distinct_links_with_event_time(spark, feed):
     incremental.run_to_table(out, str(base / "out"), str(base / "cp"))
     rows = spark.read.parquet(str(base / "out")).select("Link", "Artist")
     assert rows.count() == rows.distinct().count() > 0
+
+
+def test_batches_go_by_bytes(spark, feed):
+    """Many small files are one batch; a batch that was cut short is done again with the same result."""
+    rows, source, base = feed
+    schema = spark.read.parquet(source).schema
+    incremental.collect_links(incremental.link_stream(spark, source, schema), str(base / "one"), str(base / "cp1"))
+    assert spark.read.parquet(str(base / "one")).select("batch_id").distinct().count() == 1
+
+    table, checkpoint, calls = str(base / "cut"), str(base / "cp2"), []
+    plain = incremental.keep_first
+
+    def fails_once(batch, keys, order):
+        calls.append(1)
+        if len(calls) == 2:  # part of the second batch is there when it ends
+            batch.limit(3).write.mode("overwrite").parquet(f"{table}/batch_id=1")
+            raise RuntimeError("killed")
+        return plain(batch, keys, order)
+
+    stream = incremental.link_stream(spark, source, schema, bytes_per_batch=two_files(source))
+    incremental.keep_first = fails_once
+    try:
+        with pytest.raises(Exception, match="killed"):
+            incremental.collect_links(stream, table, checkpoint)
+    finally:
+        incremental.keep_first = plain
+    incremental.collect_links(incremental.link_stream(spark, source, schema, bytes_per_batch=two_files(source)), table, checkpoint)
+    got = {(r.Link, r.Artist) for r in incremental.collected_links(spark, table).collect()}
+    assert got == set(first_of_each(rows)) and len(calls) == 2
+
+
+def test_distinct_without_state(spark, tmp_path):
+    """Copies are dropped however late they come, over many batches, and the stream holds no state."""
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    seen = set()
+    for number in range(12):
+        rows = [(i, None if i % 11 == 0 else f"u{(i * 7 + number * 3) % 40}", f"a{i % 2}") for i in range(20)]
+        seen |= {(link, artist) for _, link, artist in rows}
+        spark.createDataFrame(rows, LINKS).coalesce(1).write.mode("append").parquet(source)
+        schema = spark.read.parquet(source).schema
+        incremental.collect_distinct(incremental.link_stream(spark, source, schema), table, checkpoint, ["Link", "Artist"])
+    stored = spark.read.parquet(table)
+    assert stored.select("batch_id").distinct().count() > 3 and not (tmp_path / "cp" / "state").exists()
+    assert sorted(map(str, stored.select("Link", "Artist").collect())) == sorted(f"Row(Link={a!r}, Artist={b!r})" for a, b in seen)

@@ -144,3 +144,44 @@ def test_first_open_position(spark):
     df = spark.createDataFrame([(0, "t1"), (1, "Unscrapable"), (2, None), (3, None)], "row_idx long, Lyrics string")
     assert aggregates.first_open_position(df, "Lyrics").first()[0] == 2
     assert aggregates.first_open_position(df.where("row_idx < 2"), "Lyrics").first()[0] is None
+
+
+def wide_catalogue(spark):
+    rows = [("a", "t1", "90", "x", None), ("a", "t2", "YEEHAW", "y", "z"), ("b", "t3", "120.7", "w", None), (None, "t4", "80", "v", None)]
+    return spark.createDataFrame(rows, "artist string, title string, bpm string, hook string, verse string")
+
+
+def test_checked_slice(spark):
+    wide = wide_catalogue(spark)
+    cut = lambda *a: [tuple(r) for r in selection.checked_slice(wide, *a).orderBy("title").collect()]
+    assert cut("hook", ["a", "a"], (0, 90)) == [("a", "t1", 90, "hook", "x"), ("a", "t2", 0, "hook", "y")]
+    assert [r[1] for r in cut("hook", (), (80, 120))] == ["t1", "t3", "t4"] and len(cut("hook")) == 4
+    assert cut("verse", ["a"]) == [("a", "t2", 0, "verse", "z")]
+    for asked, said in ((("hook", ["a", "zz"]), "zz"), (("hook", ["a"], (0, 91)), "0 to 90"), (("verse", ["b"]), "b")):
+        planned = selection.checked_slice(wide, *asked)  # nothing fails before it is run
+        with pytest.raises(Exception, match=said):
+            planned.collect()
+    with pytest.raises(Exception, match="no rows"):
+        selection.checked_slice(wide.where("hook = 'none'"), "hook").collect()
+    with pytest.raises(ValueError):
+        selection.checked_slice(wide, "bpm")
+    one = selection.domain_findings(selection.long_of_section(wide, "hook"), ["b", "q"], (120, 500)).first()
+    assert (one.n, one.missing, one.min_bpm, one.max_bpm, one.low_ok, one.high_ok) == (4, ["q"], 120, 120, True, False)
+
+
+def test_a_section_of_a_wide_catalogue_is_read_alone(spark, small, tmp_path):
+    from songloom.plans import queries
+
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("training_text", "flt_section", "flt_artists", "flt_bpm_range", "flt_both", "flt_slice", "agg_range", "agg_counts"):
+        assert "Expand" not in planned(queries.QUERIES[name](spark, small)), name
+    wide_catalogue(spark).write.parquet(str(tmp_path / "wide"))
+    plan = planned(selection.long_of_section(spark.read.parquet(str(tmp_path / "wide")), "hook"))
+    assert "IsNotNull(hook)" in plan and "verse" not in plan
+
+
+def test_selection_counts(spark):
+    from songloom.operators import aggregates
+
+    df = spark.createDataFrame([("a", "x"), ("a", "Unfinished"), ("b", None), (None, "y")], "artist string, Lyrics string")
+    assert tuple(aggregates.selection_counts(df, F.col("Lyrics") == "Unfinished").first()) == (3, 1, 2)

@@ -112,3 +112,21 @@ def test_positions_of_csv_rows_follow_the_files(spark, tmp_path):
     songs = unpivot_sections(wide, ["row_idx", "artist", "title", "bpm"])
     examples = training_examples(prompts(select_slice(songs, "hook", artists=["A"], bpm_range=(95, 100))))
     assert {r.text for r in examples.collect()} == {"### Question: Write a hook like A\n ### Answer: na"}
+
+
+@pytest.mark.parametrize("by", ["name", "position"])
+def test_catalogue_is_written_in_order(spark, tmp_path, by):
+    from songloom.operators import merging
+
+    rows = [(i, None if i % 13 == 0 else f"a{(i * 7) % 5}", f"t, {i % 4}" if i % 3 else None, f"line\n\"{i}\"") for i in range(60)]
+    songs = spark.createDataFrame(rows, "row_idx long, artist string, title string, hook string")
+    tempos = spark.createDataFrame([(i, a, t and t.replace(",", ""), str(i)) for i, a, t, _ in rows[:40]], "row_idx long, Rappers string, Songs string, BPM string")
+    merging.write_catalogue(merging.merged_catalogue(songs, tempos, by), str(tmp_path / "out"), file_rows=7)
+    got = merging.read_catalogue(spark, str(tmp_path / "out")).orderBy("place").collect()
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2] is None, r[2] or "", r[0]))
+    assert [(r.place, int(r.row_idx), r.artist, r.title, r.hook) for r in got] == [(p, *r) for p, r in enumerate(order)]
+    first = {}
+    for i, a, t, _ in rows[:40]:
+        first.setdefault((a, t), str(i))
+    wanted = [first.get((a, t)) if a and t else None for _, a, t, _ in order] if by == "name" else [str(i) if i < 40 else None for i, *_ in order]
+    assert [r.bpm for r in got] == wanted
