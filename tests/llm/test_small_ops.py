@@ -1,10 +1,12 @@
 """Exact dedup, mixing, token counts and packing against plain Python on small and odd tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from songloom.llm.exact_dedup import exact_groups, without_copies
@@ -191,3 +193,29 @@ def test_plan_is_complete_and_full():
         best = fullest(dict(some), room)
         assert sum(x * n for x, n in best) == max(s for s in sums_ if s <= room)
         assert all(n <= some[x] for x, n in best)
+
+
+def test_both_libraries_give_the_same_ids():
+    """Words met for the first time go through the quicker library; ids are those of the tokenizer file."""
+    from tokenizers import Tokenizer
+
+    from songloom.llm import tokens
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    kinds = ["abcdefgh", "aeiouthnst", "ABCxyz0123456789", "éèüßñçÀÖ×÷ø", "'\"!?.,;:-_()<>|", "日本語кот", "\t\n\x0b\x1c\u00a0\u2003", "😀👍🏽"]
+
+    def word():
+        return "".join(rng.choice(rng.choice(kinds[:5] if rng.random() < 0.9 else kinds)) for _ in range(rng.randint(1, 12)))
+
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) + rng.choice(["", " ", "  x", "<|endoftext|>", "it's we'll  'd"]) for _ in range(400)]
+    plain = Tokenizer.from_file(path)
+    for quick in (True, False):
+        pieces = tokens.PieceIds(path)
+        assert pieces.quick is not None
+        pieces.quick = pieces.quick if quick else None
+        for begin in range(0, len(texts), 100):
+            part = texts[begin : begin + 100]
+            ids, starts = tokens.encoded(pa.array(part), pieces)
+            got = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+            assert got == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
