@@ -8,7 +8,7 @@ value is part of the value. A tag, comment or quote that the page does not close
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from html.entities import html5
 
@@ -91,13 +91,16 @@ def _after_comment(page: str, at: int) -> int:
     return end.end() if end else len(page)
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Texts and tags in page order; comments, declarations and processing instructions are left out."""
+def tokens(page: str, decode: Callable[[str], str] = text_of, rest: bool = False) -> Iterator[Token]:
+    """Texts and tags in page order; comments, declarations and processing instructions are left out.
+
+    ``rest`` gives a tag that the page does not end as text.
+    """
     at, size = 0, len(page)
     while at < size:
         begin = page.find("<", at)
         if begin < 0:
-            yield "text", text_of(page[at:]), None, False
+            yield "text", decode(page[at:]), None, False
             return
         after = page[begin + 1 : begin + 2]
         closing = after == "/"
@@ -105,7 +108,7 @@ def tokens(page: str) -> Iterator[Token]:
         if not (letter.isascii() and letter.isalpha()):
             if after and after in "!?" or closing and letter:
                 if begin > at:
-                    yield "text", text_of(page[at:begin]), None, False
+                    yield "text", decode(page[at:begin]), None, False
                 if page.startswith("<!--", begin):
                     at = _after_comment(page, begin)
                 else:
@@ -114,15 +117,17 @@ def tokens(page: str) -> Iterator[Token]:
             else:  # a sign like any other
                 end = page.find("<", begin + 1)
                 end = size if end < 0 else end
-                yield "text", text_of(page[at:end]), None, False
+                yield "text", decode(page[at:end]), None, False
                 at = end
             continue
         if begin > at:
-            yield "text", text_of(page[at:begin]), None, False
+            yield "text", decode(page[at:begin]), None, False
         name = _TAG_NAME.match(page, begin + 1 + closing)
         tag = name[0].lower()
         attributes, at, closed = _attributes(page, name.end())
         if attributes is None:
+            if rest:
+                yield "text", decode(page[begin:]), None, False
             return
         if closing:
             yield "end", tag, None, False
@@ -132,5 +137,5 @@ def tokens(page: str) -> Iterator[Token]:
             end = _ENDS[tag].search(page, at)
             stop = end.start() if end else size
             if stop > at:
-                yield "text", text_of(page[at:stop]) if tag in ESCAPABLE else page[at:stop], None, False
+                yield "text", decode(page[at:stop]) if tag in ESCAPABLE else page[at:stop], None, False
             at = stop
