@@ -118,11 +118,11 @@ def without_copies(
     chosen = F.col("id").eqNullSafe(F.col("keep_id"))
     key = lambda rows: rows.select(F.struct("id", "_address", "_sha").alias("_key"))
     dropped, doubled = key(groups.where(~chosen)), key(groups.where(chosen & (F.col("copies") > 1)))
-    keyed = docs.withColumn("_norm", normalised(text))
-    keyed = keyed.withColumn("_key", F.struct(F.col(id_column).alias("id"), *_addressed("_norm", address_bits))).drop("_norm")
-    kept = keyed.join(dropped.unionByName(doubled), "_key", "left_anti").select(docs.columns)
+    # The documents' columns go as one, so that none of their names can meet one of ours.
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_column).alias("_id"), normalised(text).alias("_norm"))
+    keyed = keyed.select("_doc", F.struct(F.col("_id").alias("id"), *_addressed("_norm", address_bits)).alias("_key"))
+    kept = keyed.join(dropped.unionByName(doubled), "_key", "left_anti").select("_doc")
     if not doubled.isEmpty():
-        whole = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("_row")
-        once = keyed.join(doubled, "_key", "left_semi").groupBy("_key").agg(whole)
-        kept = kept.unionByName(once.select("_row.*"))
-    return kept
+        whole = F.min_by("_doc", F.coalesce(F.col("_doc")[text], F.lit(""))).alias("_doc")
+        kept = kept.unionByName(keyed.join(doubled, "_key", "left_semi").groupBy("_key").agg(whole).select("_doc"))
+    return kept.select("_doc.*")

@@ -199,11 +199,12 @@ def mixed_documents(
     found = stored(inclusions(docs, weights, share, cap, id_column=id_column, text=text, source=source), "inclusions")
     key = F.struct(F.col(id_column).cast("string").alias("doc"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
     wanted = found.where(F.col("total") > 0).select(F.struct("doc", "source", "size").alias("_key"), "rows", "total")
-    keyed = docs.withColumn("_key", key).join(wanted, "_key")
+    # The documents' columns go as one, so that none of their names can meet one of ours.
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("_key")).join(wanted, "_key")
     alone = keyed.where(F.col("rows") == 1).withColumn("_copies", F.col("total"))
     if not wanted.where(F.col("rows") > 1).isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_key").orderBy(text))
+        nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("_doc")[text]))
         share_of = F.floor(F.col("total") / F.col("rows")) + (nth <= F.col("total") % F.col("rows")).cast("long")
         alone = alone.unionByName(keyed.where(F.col("rows") > 1).withColumn("_copies", share_of))
     repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return alone.where(F.col("_copies") > 0).withColumn("_nth", repeated).select(docs.columns)
+    return alone.where(F.col("_copies") > 0).select("_doc", repeated).select("_doc.*")

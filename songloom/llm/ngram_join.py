@@ -284,4 +284,6 @@ def without_near_copies(
     """
     groups = near_groups(docs, threshold, recall, id_column, text)
     dropped = groups.where(~F.col("kept")).select(F.struct(F.col(id_column).alias("id")).alias("_key")).distinct()
-    return docs.withColumn("_key", F.struct(F.col(id_column).alias("id"))).join(dropped, "_key", "left_anti").select(docs.columns)
+    # The documents' columns go as one, so that none of their names can meet ours.
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.struct(F.col(id_column).alias("id")).alias("_key"))
+    return keyed.join(dropped, "_key", "left_anti").select("_doc.*")

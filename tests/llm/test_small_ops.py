@@ -219,3 +219,26 @@ def test_both_libraries_give_the_same_ids():
             ids, starts = tokens.encoded(pa.array(part), pieces)
             got = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
             assert got == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("operator", ["mixed", "exact", "near"])
+def test_names_of_ours_may_be_columns(spark, operator):
+    """Columns that are called as the operators' own come back as they were."""
+    from songloom.llm.ngram_join import without_near_copies
+
+    names = ["_key", "_doc", "_copies", "_nth", "_norm", "_id", "_row", "rows", "total", "doc", "size", "id", "key"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    own = lambda i: tuple(f"{n}{i}" for n in names)
+    texts = ["one two three four five six", "One two three four five six", "seven eight nine ten eleven", None, "a b c d e f g"]
+    rows = [(i, t, f"s{i % 2}", *own(i)) for i, t in enumerate(texts)] + [(1, "One two three four five six", "s1", *own(1))]
+    docs = spark.createDataFrame(rows, schema)
+    calls = {"mixed": lambda d: mixed_documents(d, (3.0, 1.0, 2.0)), "exact": without_copies, "near": without_near_copies}
+    got = calls[operator](docs)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert kept and all(tuple(r)[3:] == own(r.doc_id) for r in kept)
+    if operator == "exact":
+        assert sorted(r.doc_id for r in kept) == [1, 2, 3, 4]
+    bare = docs.select("doc_id", "text", "source")
+    plain = calls[operator](bare).collect()
+    assert sorted(map(str, plain)) == sorted(str(r) for r in got.select("doc_id", "text", "source").collect())
