@@ -2,31 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songloom.session import shared_dir
+from songloom.operators.equijoin import free_name
 
 
-def with_row_index(df: DataFrame, keys: list[str | Column], name: str = "row_idx") -> DataFrame:
-    """Number the rows 0, 1, 2 ... in the order of ``keys``, which must order the rows totally.
+#: Key ranges per shuffle partition; ranges are dealt by hash, and with several each task gets about as many rows.
+RANGES_PER_PARTITION = 4
+#: Steps of the search for a row's range; two to this power is the largest number of ranges.
+SEARCH_STEPS = 20
+
+
+def _in_order(keys: list[str], descending: Sequence[str]) -> list[Column]:
+    return [F.desc(k) if k in descending else F.asc(k) for k in keys]
+
+
+def _not_behind(bound: Column, keys: list[str], descending: Sequence[str]) -> Column:
+    """Whether ``bound`` is at or before the row; ascending keys have nulls first, descending ones last."""
+    result = F.lit(True)
+    for key in reversed(keys):
+        mine, its = F.col(key), bound[key]
+        low, high = (mine, its) if key in descending else (its, mine)
+        before = F.when(low.isNull(), True).when(high.isNull(), False).otherwise(low < high)
+        result = F.when(its.eqNullSafe(mine), result).otherwise(before)
+    return result
+
 
-    The rows are range-partitioned and sorted in place. The checkpoint fixes which partition holds which
-    rows, so that the number of rows in all earlier partitions, one figure per partition, stays true when
-    a task is run again. No single task sees the whole table.
+def range_index(df: DataFrame, keys: list[str], descending: Sequence[str] = ()) -> DataFrame:
+    """First key ``first`` of each range of keys, and the number ``offset`` of rows before it.
+
+    Only the keys are shuffled. Equal keys are in one range, so a row's range follows from its key alone.
     """
-    shared_dir(df.sparkSession)
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).checkpoint()
+    order = _in_order(keys, descending)
+    # A number of its own, as ranges of keys that look small may hold large rows.
+    parts = RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(*keys).repartitionByRange(min(parts, 1 << SEARCH_STEPS), *order).sortWithinPartitions(*order)
     # A generated id holds the partition in its upper bits and the place in it in its lower 33 bits.
-    marked = placed.withColumn("_generated", F.monotonically_increasing_id()).select(
-        "*", F.shiftright("_generated", 33).alias("_range"), F.col("_generated").bitwiseAND((1 << 33) - 1).alias("_within")
+    marked = placed.select(F.struct(*keys).alias("key"), F.monotonically_increasing_id().alias("at"))
+    ranges = marked.groupBy(F.shiftright("at", 33).alias("range")).agg(
+        F.min_by("key", "at").alias("first"), F.count("*").alias("rows")
+    )
+    # One row per partition from here on.
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.select("range", "first", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
+
+
+def with_row_index(df: DataFrame, keys: list[str], name: str = "row_idx", descending: Sequence[str] = ()) -> DataFrame:
+    """Number the rows 0, 1, 2 ... in the order of ``keys``, which must order the rows totally.
+
+    An index of key ranges is made of the keys alone; every row finds its range in it by a binary search and
+    is numbered there, so that no single task sees the whole table. Nothing is stored, and the numbers are
+    the same whenever a task is run again: they depend on the keys, not on where a row lies.
+    """
+    found, offset = free_name("_ranges", df), free_name("_offset", df)
+    ranges = range_index(df, keys, descending)
+    ordered = ranges.agg(F.array_sort(F.collect_list(F.struct("range", "first", "offset"))))
+    searched = F.aggregate(
+        F.array(*[F.lit(1 << s) for s in reversed(range(SEARCH_STEPS))]),
+        F.lit(0),
+        lambda at, step: F.when(
+            (at + step < F.size(found)) & _not_behind(F.get(F.col(found), at + step)["first"], keys, descending), at + step
+        ).otherwise(at),
     )
-    sizes = marked.groupBy("_range").agg(F.count("*").alias("_rows"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    # One row per partition: the size of the broadcast side is bound by the number of partitions.
-    numbered = marked.join(F.broadcast(offsets), "_range")
-    return numbered.withColumn(name, F.col("_offset") + F.col("_within")).drop("_generated", "_range", "_within", "_offset")
+    placed = df.withColumn(found, ordered.scalar()).withColumn(offset, F.get(F.col(found), searched)["offset"]).drop(found)
+    within = F.row_number().over(Window.partitionBy(offset).orderBy(*_in_order(keys, descending)))
+    return placed.withColumn(name, F.col(offset) + within - 1).drop(offset)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

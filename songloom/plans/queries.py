@@ -223,8 +223,8 @@ def _left_right(spark, sf_dir):
     customer = views.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     supplier = views.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return (
-        ordering.with_row_index(customer, [F.desc("c_name"), "c_custkey"]),
-        ordering.with_row_index(supplier, [F.desc("s_name"), "s_suppkey"]),
+        ordering.with_row_index(customer, ["c_name", "c_custkey"], descending=["c_name"]),
+        ordering.with_row_index(supplier, ["s_name", "s_suppkey"], descending=["s_name"]),
     )
 
 

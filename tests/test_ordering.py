@@ -28,6 +28,31 @@ def test_row_index_of_an_empty_table(spark):
     assert ordering.with_row_index(spark.range(0), ["id"]).collect() == []
 
 
+def test_row_index_in_mixed_directions_with_nulls_and_ties(spark):
+    rows = [(i % 5 if i % 7 else None, float(i % 11) if i % 3 else None, i) for i in range(2000)]
+    rows += [(1, float("nan"), 2000), (1, 2.0, 2001)]
+    df = spark.createDataFrame(rows, "a int, b double, _offset long").repartition(9)
+    keys, falling = ["a", "b", "_offset"], ["b"]
+    numbered = ordering.with_row_index(df, keys, descending=falling)
+    assert numbered.columns == [*df.columns, "row_idx"]
+    expected = [tuple(r) for r in df.orderBy("a", F.desc("b"), "_offset").coalesce(1).collect()]
+    got = [tuple(r)[:3] for r in sorted(numbered.collect(), key=lambda r: r.row_idx)]
+    assert list(map(str, got)) == list(map(str, expected))
+    tied = ordering.with_row_index(df.select("a"), ["a"])
+    assert sorted(r.row_idx for r in tied.collect()) == list(range(2002))
+
+
+def test_row_index_shuffles_only_keys_for_its_ranges(spark):
+    """The index of ranges reads and moves the keys; nothing is stored; other columns are shuffled once."""
+    df = spark.range(500).select("id", F.repeat(F.lit("x"), 50).alias("text")).repartition(3)
+    ranges = ordering.range_index(df, ["id"])
+    assert "text" not in ranges._jdf.queryExecution().optimizedPlan().toString()
+    found = ranges.orderBy("range").collect()
+    assert len(found) > 1 and [r.first.id for r in found] == [r.offset for r in found]
+    plan = ordering.with_row_index(df, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RDD" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("right, expected", [("12", [("a", "1"), ("b", "2"), ("c", None)]), ("1234", [("a", "1"), ("b", "2"), ("c", "3")])])
 def test_positional_join(spark, right, expected):
     left = spark.createDataFrame(list(enumerate("abc")), "row_idx long, l string")
