@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pytest
 
-from songloom.llm.exact_dedup import exact_groups, without_copies
+from songloom.llm.exact_dedup import _keyed, build_index, exact_groups, without_copies
 from songloom.llm.mixing import flight, mixed_documents, taken_words
 from songloom.llm.packing import fullest, pack, plan, sequences
 from songloom.llm.queries import tokenizer_path
@@ -40,7 +40,7 @@ def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-@pytest.mark.parametrize("bits", [62, 1])
+@pytest.mark.parametrize("bits", [62, 6, 0])
 def test_exact_groups(spark, odd, small, bits):
     for docs in (odd, spark.read.parquet(f"{small}/documents.parquet")):
         rows = [(r.doc_id, lowered(r.text)) for r in docs.collect()]
@@ -57,6 +57,26 @@ def test_exact_groups(spark, odd, small, bits):
         assert sorted(map(str, ((r.doc_id, lowered(r.text)) for r in left.collect()))) == sorted(map(str, ((keep[t], t) for t in groups)))
 
 
+def test_texts_that_collide_form_chains(spark, odd):
+    """All texts at one address: they are told apart by their bytes, and by nothing else."""
+    _, index = build_index(_keyed(odd, "doc_id", "text", 0), 2)
+    chain = index.collect()
+    texts = Counter(lowered(r.text) for r in odd.collect())
+    assert {r._address for r in chain} == {0} and {r._chained: r.group_size for r in chain} == texts
+    _, clean = build_index(_keyed(odd, "doc_id", "text", 62), 2)
+    single = clean.collect()
+    assert all(r._chained is None for r in single) and len(single) == len(texts)
+    assert sorted(r.text_sha256 for r in single) == sorted(r.text_sha256 for r in chain)
+
+
+def test_directory_splits_overfull_buckets_only(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    _, index = build_index(_keyed(docs, "doc_id", "text", 62), 20)
+    filled = Counter(r._bucket for r in index.collect())
+    assert len(filled) > 4 and max(filled.values()) <= 20
+    assert sum(filled.values()) == len({lowered(r.text) for r in docs.collect()})
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     assert exact_groups(none).count() == 0 and without_copies(none).count() == 0
