@@ -10,14 +10,17 @@ boxes are too far apart are skipped, and only short pieces compare vectors, in d
 Equal vectors are one vector with a weight before all this, so a vector that most rows hold costs no more than one.
 A task gives back the number of links per vector and the links of a spanning forest, never all pairs.
 
-Defined cases: vectors that are null, empty, zero, hold null or non-finite components or are of another length than
-most link with nothing; rows with the same id and vector count as two; labels and other columns are ignored; an
-empty table gives no rows.
+Vectors of different lengths have no cosine and never link; each length is joined on its own, one after the other, so
+a table should not hold many lengths.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; rows with
+the same id and vector count as two; labels and other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -221,22 +224,8 @@ def _join_pair(axes: np.ndarray, cosine: float):
     return run
 
 
-def near_links(
-    table: DataFrame, cosine: float = 0.9, id_column: str = "vec_id", vector: str = "embedding", interval: int = INTERVAL,
-) -> DataFrame:
-    """One row per vector: id, ``n_links, component_id, kept``."""
-    spark = table.sparkSession
-    rows = table.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + F.lit(0.0))))
-    lengths = rows.where("vector is not null").groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"))
-    first = lengths.orderBy(F.desc("n"), "dims").first()
-    dims = first["dims"] if first else 1
-    rows = rows.withColumn("vector", F.when(F.size("vector") == dims, F.col("vector")))
-    classes = stored(
-        rows.where("vector is not null and id is not null").groupBy("vector")
-        .agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "vector"),
-        "vectors",
-    )
+def _class_links(classes: DataFrame, dims: int, cosine: float, interval: int) -> DataFrame:
+    """``component`` and number of ``links`` per different vector of one length."""
     axes = principal_axes(classes, dims)
     epsilon = math.sqrt(max(1e-12, 2 - 2 * cosine))
     ordered = _in_grid_order(classes, axes, epsilon).repartitionByRange("c0", "c1", "inner").sortWithinPartitions("c0", "c1", "inner")
@@ -259,19 +248,34 @@ def near_links(
     pairs = met.where((F.col("ia") <= F.col("ib")) & (far2 <= (epsilon + 1e-6) ** 2)).select("ia", "ib").distinct()
     side = lambda s: runs.select(F.col("interval").alias(f"i{s}"), F.col("reps").alias(f"r{s}"), F.col("weights").alias(f"w{s}"), F.col("vectors").alias(f"v{s}"))
     joined = stored(pairs, "pairs").join(side("a"), "ia").join(side("b"), "ib")
-    with rows_per_batch(spark, 8):
+    with rows_per_batch(classes.sparkSession, 8):
         found = stored(joined.mapInArrow(_join_pair(axes, cosine), "rep long, links long, root long"), "near")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_class = classes.join(counts, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").select(
+    return classes.join(counts, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.struct("vector").alias("_key"), F.coalesce("component", "rep").alias("component"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"),
     )
-    known = F.when(F.col("vector").isNotNull() & F.col("id").isNotNull(), F.struct("vector"))
-    out = rows.withColumn("_key", known).join(per_class, "_key", "left")
+
+
+def near_links(
+    table: DataFrame, cosine: float = 0.9, id_column: str = "vec_id", vector: str = "embedding", interval: int = INTERVAL,
+) -> DataFrame:
+    """One row per vector: id, ``n_links, component_id, kept``."""
+    rows = table.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + F.lit(0.0))))
+    known = F.col("vector").isNotNull() & F.col("id").isNotNull()
+    classes = stored(
+        rows.where(known).groupBy("vector")
+        .agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "vector"),
+        "vectors",
+    )
+    lengths = [r["dims"] for r in classes.select(F.size("vector").alias("dims")).distinct().orderBy("dims").collect()]
+    joined = [_class_links(classes.where(F.size("vector") == d), d, cosine, interval) for d in lengths or [1]]
+    per_class = reduce(DataFrame.unionByName, joined)
+    out = rows.withColumn("_key", F.when(known, F.struct("vector"))).join(per_class, "_key", "left")
     return out.select(
         F.col("id").alias(id_column), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id").eqNullSafe(F.col("id"))).alias("kept"),
     )
-

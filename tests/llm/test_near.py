@@ -111,7 +111,9 @@ def test_near_vectors(spark, dims):
     centres = rng.normal(size=(12, dims))
     made = [(centres[i % 12] + rng.normal(size=dims) * rng.choice([0.05, 0.3, 1])).tolist() for i in range(500)]
     odd = [None, [], [0.0] * dims, [float("nan")] * dims, [None] * dims, [float("inf")] * dims, [1.0] * (dims + 1)]
-    rows = list(enumerate(made + made[:30] + [made[0]] * 20 + odd))
+    # Other lengths link among themselves, never across, although their leading components are the same.
+    longer = [[*v, 0.0, 0.0] for v in made[:60]] + [[0.5] * (dims + 5)] * 3
+    rows = list(enumerate(made + made[:30] + [made[0]] * 20 + odd + longer))
     table = spark.createDataFrame([(d, v, 1) for d, v in rows], "vec_id long, embedding array<double>, links int")
     got = near_vectors.near_links(table.repartition(3), interval=50)
     assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
