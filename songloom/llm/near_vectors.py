@@ -5,7 +5,8 @@ epsilon. They are turned to their principal axes; the leading ones carry a grid
 epsilon, and the vectors are put in the order of their cells. The sequence is cut in intervals, which know the
 box they fill along all axes. Intervals meet only where a cell of one is beside a cell of the other and their boxes
 are not provably farther apart than epsilon. Two intervals that meet are joined recursively: halves whose
-boxes are too far apart are skipped, and only short pieces compare vectors, in double precision.
+boxes are too far apart are skipped, and only short pieces compare vectors, in double precision. Pairs of intervals are
+worked off in tiles of neighbours, so that a block of vectors is sent once per tile and not once per pair.
 
 Equal vectors are one vector with a weight before all this, so a vector that most rows hold costs no more than one.
 A task gives back the number of links per vector and the links of a spanning forest, never all pairs.
@@ -27,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.common import rows_per_batch
+from songloom.llm.common import by_group, rows_per_batch
 from songloom.llm.components import components
+from songloom.operators.ordering import with_row_index
 from songloom.session import stored
 
 #: Vectors per interval, and per piece below which vectors are compared.
 INTERVAL = 1024
 PIECE = 128
+#: Intervals in a row that are joined with as many others by one task.
+TILE = 16
 #: Leading axes that carry the grid.
 GRID_AXES = 2
 
@@ -203,27 +207,49 @@ class Join:
                 self.parent[max(x, y)] = min(x, y)
 
 
-def _join_pair(axes: np.ndarray, cosine: float):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                read = lambda key, kind: np.frombuffer(row[key], kind)
-                same = row["ia"] == row["ib"]
-                ra, rb = read("ra", "<i8"), read("rb", "<i8")
-                a, b = read("va", "<f8").reshape(len(ra), -1), read("vb", "<f8").reshape(len(rb), -1)
-                join = Join(a, b, read("wa", "<i8"), read("wb", "<i8"), axes, cosine, same)
-                join.meet(0, len(a), 0, len(b))
-                reps = ra if same else np.concatenate([ra, rb])
-                counts = join.na if same else np.concatenate([join.na, join.nb])
-                roots = reps[[join.root(i) for i in range(len(reps))]]
-                linked = counts > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps[linked]), pa.array(counts[linked]), pa.array(roots[linked])], ["rep", "links", "root"]
-                )
+def _join_tile(axes: np.ndarray, cosine: float):
+    """Joins the intervals of one tile that were found to meet; a tile holds ``2 * TILE`` intervals at most."""
+
+    def run(table: pa.Table):
+        held, asked = {}, []
+        for row in table.select(["interval", "partners", "reps", "weights", "vectors"]).to_pylist():
+            reps = np.frombuffer(row["reps"], "<i8")
+            vectors = np.frombuffer(row["vectors"], "<f8").reshape(len(reps), -1)
+            held[row["interval"]] = reps, np.frombuffer(row["weights"], "<i8"), vectors
+            asked += [(row["interval"], other) for other in row["partners"]]
+        for ia, ib in sorted(asked):
+            same = ia == ib
+            (ra, wa, a), (rb, wb, b) = held[ia], held[ib]
+            join = Join(a, b, wa, wb, axes, cosine, same)
+            join.meet(0, len(a), 0, len(b))
+            reps = ra if same else np.concatenate([ra, rb])
+            counts = join.na if same else np.concatenate([join.na, join.nb])
+            roots = reps[[join.root(i) for i in range(len(reps))]]
+            linked = counts > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps[linked]), pa.array(counts[linked]), pa.array(roots[linked])], ["rep", "links", "root"]
+            )
 
     return run
 
 
+def _in_tiles(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Intervals ``ia <= ib`` that meet, by tiles ``ta, tb``: each interval once per tile, with its ``partners`` there.
+
+    ``TILE`` intervals that follow each other are a side of a tile, so a block of vectors travels once for as many
+    partners.
+    """
+    places = stored(with_row_index(runs.select("interval"), ["interval"], "place"), "places")
+    tile = lambda s: places.select(F.col("interval").alias(f"i{s}"), F.expr(f"place div {TILE}").alias(f"t{s}"))
+    tiled = pairs.join(tile("a"), "ia").join(tile("b"), "ib")
+    nobody = F.lit(None).cast("long")
+    each = F.array(
+        F.struct(F.col("ia").alias("interval"), F.col("ib").alias("partner")), F.struct(F.col("ib").alias("interval"), nobody.alias("partner"))
+    )
+    members = tiled.select("ta", "tb", F.inline(each)).groupBy("ta", "tb", "interval").agg(F.collect_list("partner").alias("partners"))
+    return members.join(runs.select("interval", "reps", "weights", "vectors"), "interval")
+
+
 def _class_links(classes: DataFrame, dims: int, cosine: float, interval: int) -> DataFrame:
     """``component`` and number of ``links`` per different vector of one length."""
     axes = principal_axes(classes, dims)
@@ -246,10 +272,9 @@ def _class_links(classes: DataFrame, dims: int, cosine: float, interval: int) ->
     )
     far2 = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
     pairs = met.where((F.col("ia") <= F.col("ib")) & (far2 <= (epsilon + 1e-6) ** 2)).select("ia", "ib").distinct()
-    side = lambda s: runs.select(F.col("interval").alias(f"i{s}"), F.col("reps").alias(f"r{s}"), F.col("weights").alias(f"w{s}"), F.col("vectors").alias(f"v{s}"))
-    joined = stored(pairs, "pairs").join(side("a"), "ia").join(side("b"), "ib")
+    shipped = _in_tiles(stored(pairs, "pairs"), runs)
     with rows_per_batch(classes.sparkSession, 8):
-        found = stored(joined.mapInArrow(_join_pair(axes, cosine), "rep long, links long, root long"), "near")
+        found = stored(by_group(shipped, ["ta", "tb"], _join_tile(axes, cosine), "rep long, links long, root long"), "near")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -106,7 +106,8 @@ def brute_vectors(rows, cosine=0.9):
 
 
 @pytest.mark.parametrize("dims", [1, 8])
-def test_near_vectors(spark, dims):
+def test_near_vectors(spark, dims, monkeypatch):
+    monkeypatch.setattr(near_vectors, "TILE", 3)
     rng = np.random.default_rng(dims)
     centres = rng.normal(size=(12, dims))
     made = [(centres[i % 12] + rng.normal(size=dims) * rng.choice([0.05, 0.3, 1])).tolist() for i in range(500)]
