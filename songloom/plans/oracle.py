@@ -406,6 +406,10 @@ BODIES = {
                     ELSE l.Lyrics END AS Lyrics
         FROM lyrics l JOIN documents d ON d.doc_id = l.row_idx
         WHERE l.Lyrics IS NULL OR l.Lyrics <> 'Unfinished'""",
+    "inc_first_lyrics": """
+        SELECT l.row_idx, l.Artist, l.Link, NULL::VARCHAR AS Features, NULL::VARCHAR AS "Song Title", d.text AS Lyrics
+        FROM links l LEFT JOIN documents d ON d.doc_id = l.row_idx
+        WHERE l.Link IS NULL OR l.Link <> 'Unfinished'""",
     "inc_fail_mark": """
         SELECT row_idx, Link, Artist FROM links UNION ALL
         SELECT doc_id + (SELECT max(row_idx) + 1 FROM links), 'Unfinished', doc_id::VARCHAR FROM labels WHERE toxic = 1""",

@@ -688,6 +688,14 @@ def inc_resume_lyrics(spark, sf_dir):
     return resume.resume_lyrics(stored, results)
 
 
+@query
+def inc_first_lyrics(spark, sf_dir):
+    """A first lyric session: begun from the links, filled by what was read for its open rows."""
+    begun = resume.first_lyrics(views.links(spark, sf_dir))
+    read = views.documents(spark, sf_dir).select(F.col("doc_id").alias("row_idx"), F.col("text").alias("Lyrics"))
+    return resume.resume_lyrics(begun, read.join(resume.open_lyrics(begun), "row_idx", "left_semi"))
+
+
 @query
 def inc_fail_mark(spark, sf_dir):
     failed = views.table(spark, sf_dir, "labels").where("toxic = 1").select(

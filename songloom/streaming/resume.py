@@ -9,6 +9,7 @@ from songloom.constants import NOT_SEARCHED, UNFINISHED
 from songloom.operators.joins import worklist
 from songloom.operators.ordering import append_rows, keep_first
 from songloom.operators.selection import without_unfinished
+from songloom.sources.tables import LYRICS_SCHEMA, with_missing_columns
 
 
 def link_worklist(seeds: DataFrame, links: DataFrame) -> DataFrame:
@@ -36,6 +37,15 @@ def resume_links(stored: DataFrame, new: DataFrame, order: str = "row_idx") -> D
     return keep_first(append_rows(kept, new, order), ["Link", "Artist"], [order])
 
 
+def first_lyrics(links: DataFrame) -> DataFrame:
+    """Lyric table of a first session: the collected links at their positions, all of them open.
+
+    A link that is still unfinished has no page to read and gets no row.
+    """
+    collected, _ = without_unfinished(links, "Link")
+    return with_missing_columns(collected.select("row_idx", "Artist", "Link"), LYRICS_SCHEMA)
+
+
 def open_lyrics(stored: DataFrame, order: str = "row_idx") -> DataFrame:
     """Rows to work on: from the first one without lyrics to the end, unfinished rows left out.
 

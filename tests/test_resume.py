@@ -28,6 +28,18 @@ def lyrics(spark):
     return spark.createDataFrame(rows, "row_idx long, Artist string, Lyrics string, `Song Title` string")
 
 
+def test_first_lyric_session(spark):
+    links = spark.createDataFrame([(0, "u1", "a"), (1, "Unfinished", "b"), (2, None, "c"), (3, "u3", "c")], LINKS)
+    begun = resume.first_lyrics(links)
+    assert begun.columns == ["row_idx", "Artist", "Link", "Features", "Song Title", "Lyrics"]
+    assert sorted((r.row_idx, r.Link, r.Lyrics) for r in begun.collect()) == [(0, "u1", None), (2, None, None), (3, "u3", None)]
+    assert sorted(r.row_idx for r in resume.open_lyrics(begun).collect()) == [0, 2, 3]
+    read = spark.createDataFrame([(0, "la"), (1, "never asked for")], "row_idx long, Lyrics string")
+    filled = resume.resume_lyrics(begun, read)
+    assert sorted((r.row_idx, r.Lyrics) for r in filled.collect()) == [(0, "la"), (2, None), (3, None)]
+    assert resume.first_lyrics(links.limit(0)).isEmpty()
+
+
 def test_open_lyrics(spark):
     assert sorted(r.row_idx for r in resume.open_lyrics(lyrics(spark)).collect()) == [2, 3, 4]
     assert resume.open_lyrics(lyrics(spark).where("row_idx = 0")).isEmpty()
