@@ -26,9 +26,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
-from collections import Counter
+from collections.abc import Callable, Generator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,9 @@ from songloom.session import stored
 
 SAME_SHARE = 0.8
 SAME_PAGES = 5
-#: Pairs of children up to which two lists are matched child by child at once.
-CELLS = 160_000
+#: Pairs of children up to which two lists are matched pair by pair, which is quicker for short ones, and pairs weighed at a time beyond.
+CELLS = 10_000
+ROW_CELLS = 500_000
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,124 +204,216 @@ def _same_trees(rows: list, below: list[list[int]], names: dict) -> list[int]:
     return numbers
 
 
-def _aligned_by_runs(left: list[int], right: list[int], same_a: list[int], same_b: list[int], model: list, page: list):
-    """Parts of two lists that face each other, ``(left part, right part)``, with equal subtrees as pairs of single places.
+def _sizes(below: list[list[int]]) -> list[int]:
+    """Number of places in each place's subtree, itself included."""
+    sizes = [1] * (len(below) - 1)
+    for place in range(len(sizes) - 1, -1, -1):  # children stand behind their parents
+        sizes[place] += sum(sizes[c] for c in below[place])
+    return sizes
+
+
+class _Side:
+    """A skeleton with numbers, shared by both sides, for what is compared: kinds, texts, shapes and subtrees."""
+
+    def __init__(self, rows: list, names: dict):
+        self.rows, self.below = rows, _tree(rows)
+        number = lambda *key: names.setdefault(key, len(names))
+        self.same = _same_trees(rows, self.below, names)
+        self.size = _sizes(self.below)
+        self.kind = np.array([number("kind", r[0]) for r in rows], np.int64)
+        self.text = np.array([number("text", r[2]) for r in rows], np.int64)
+        self.shape = [0] * len(rows)
+        for place in range(len(rows) - 1, -1, -1):
+            self.shape[place] = number("shape", rows[place][0], tuple(self.shape[c] for c in self.below[place]))
+
+
+def _worked(task: Generator) -> np.ndarray:
+    """Value of a generator that yields the generators whose values it needs; trees of any depth need no recursion."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _by_shape(side: _Side, places: list[int]) -> dict[int, list[int]]:
+    """Positions in ``places`` of the subtrees of each shape, childless ones left out."""
+    found: dict[int, list[int]] = {}
+    for i, place in enumerate(places):
+        if side.below[place]:
+            found.setdefault(side.shape[place], []).append(i)
+    return found
+
 
-    Equal heads and tails are taken off first, then the lists are cut at subtrees that occur once in both and stand in the same order.
-    What stays between two cuts is left to be matched child by child.
+def _gains(model: _Side, page: _Side, xs: list[int], ys: list[int]) -> Generator:
+    """What every pair of places adds to a matching, subtrees included; 0 for different kinds."""
+    alike = model.kind[xs][:, None] == page.kind[ys][None, :]
+    gains = np.where(alike, 2 + (model.text[xs][:, None] == page.text[ys][None, :]), 0).astype(np.int32)
+    shapes = _by_shape(page, ys)
+    for mine in _by_shape(model, xs).values():
+        for its in shapes.values():
+            if model.kind[xs[mine[0]]] == page.kind[ys[its[0]]]:
+                gains[np.ix_(mine, its)] += yield _weights(model, page, [xs[i] for i in mine], [ys[j] for j in its])
+    return gains
+
+
+def _weights(model: _Side, page: _Side, xs: list[int], ys: list[int]) -> Generator:
+    """Weight of the heaviest matching below every pair of places; those of a side have one shape."""
+    n, m = len(model.below[xs[0]]), len(page.below[ys[0]])
+    most = max(1, 20 * ROW_CELLS // (m * len(ys)))
+    if len(xs) > most:
+        parts = []
+        for begin in range(0, len(xs), most):
+            parts.append((yield _weights(model, page, xs[begin : begin + most], ys)))
+        return np.concatenate(parts)
+    if m > 2 * len(xs) * len(ys):  # few subtrees with long lists
+        out = np.zeros((len(xs), len(ys)), np.int32)
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                last, _ = yield _last_row(model, page, model.below[x], page.below[y])
+                out[i, j] = last[-1]
+        return out
+    mine, its = [[model.below[x][i] for x in xs] for i in range(n)], [[page.below[y][j] for y in ys] for j in range(m)]
+    texts_a, texts_b = [model.text[c][:, None] for c in mine], [page.text[c][None, :] for c in its]
+    kinds_a, kinds_b = [int(model.kind[c[0]]) for c in mine], [int(page.kind[c[0]]) for c in its]
+    inner_a, inner_b = [bool(model.below[c[0]]) for c in mine], [bool(page.below[c[0]]) for c in its]
+    above = [np.zeros((len(xs), len(ys)), np.int32)] * (m + 1)
+    for i in range(n):
+        row = above[:1]
+        for j in range(m):
+            best = np.maximum(above[j + 1], row[j])
+            if kinds_a[i] == kinds_b[j]:
+                gain = above[j] + 2
+                gain += texts_a[i] == texts_b[j]
+                if inner_a[i] and inner_b[j]:
+                    gain += yield _weights(model, page, mine[i], its[j])
+                np.maximum(best, gain, out=best)
+            row.append(best)
+        above = row
+    return above[m]
+
+
+def _next_row(above: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Row of the table of ``_best_pairs`` from the row above and the gains of its place."""
+    row = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[1:], np.where(gain > 0, above[:-1] + gain, 0)), out=row[1:])
+    return row
+
+
+def _step(left: list[int], right: list[int]) -> int:
+    """Rows of the table that are held at a time; one row of each such block is kept."""
+    return max(1, ROW_CELLS // len(right), int(len(left) ** 0.5))
+
+
+def _last_row(model: _Side, page: _Side, left: list[int], right: list[int]) -> Generator:
+    """Last row of the table of two lists, and the row above each block of rows."""
+    row, kept, step = np.zeros(len(right) + 1, np.int32), [], _step(left, right)
+    for begin in range(0, len(left), step):
+        kept.append(row)
+        for gain in (yield _gains(model, page, left[begin : begin + step], right)):
+            row = _next_row(row, gain)
+    return row, kept
+
+
+def _best_pairs_of_rows(model: _Side, page: _Side, left: list[int], right: list[int]) -> tuple[int, list]:
+    """What ``_best_pairs`` gives, for long lists: whole rows at once, and only a block of them held at a time."""
+    last, kept = _worked(_last_row(model, page, left, right))
+    step, j = _step(left, right), len(right)
+    pairs = []
+    for block in range(len(kept) - 1, -1, -1):
+        places = left[block * step : (block + 1) * step]
+        gains = _worked(_gains(model, page, places, right))
+        table = [kept[block]]
+        for gain in gains:
+            table.append(_next_row(table[-1], gain))
+        i = len(places)
+        while i and j:
+            g = gains[i - 1][j - 1]
+            if g and table[i][j] == table[i - 1][j - 1] + g:
+                pairs.append((places[i - 1], right[j - 1]))
+                i, j = i - 1, j - 1
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return int(last[-1]), pairs[::-1]
+
+
+def _equal_ends(left: list[int], right: list[int], same_a: list[int], same_b: list[int]) -> tuple[int, int]:
+    """Number of equal subtrees that two lists begin with, and of those they end with after that.
+
+    No matching is heavier than one that pairs them: nothing outweighs a subtree matched with its equal.
     """
-    work, out = [(left, right)], []
-    while work:
-        xs, ys = work.pop()
-        head = 0
-        while head < min(len(xs), len(ys)) and same_a[xs[head]] == same_b[ys[head]]:
-            out.append(([xs[head]], [ys[head]]))
-            head += 1
-        xs, ys = xs[head:], ys[head:]
-        tail = 0
-        while tail < min(len(xs), len(ys)) and same_a[xs[-1 - tail]] == same_b[ys[-1 - tail]]:
-            out.append(([xs[-1 - tail]], [ys[-1 - tail]]))
-            tail += 1
-        xs, ys = xs[: len(xs) - tail], ys[: len(ys) - tail]
-        if not xs or not ys:
-            continue
-        if len(xs) * len(ys) <= CELLS:
-            out.append((xs, ys))
-            continue
-        cuts = _common_in_order(xs, ys, same_a, same_b)
-        if not cuts:  # nothing is unmistakable: each with the next of its kind, from the side that gives more
-            forth = _next_of_kind(xs, ys, model, page)
-            back = [(x, y) for y, x in _next_of_kind(ys, xs, page, model)]
-            out += [([x], [y]) for x, y in max(forth, back, key=len)]
-            continue
-        i = j = 0
-        for x, y in cuts:
-            work.append((xs[i:x], ys[j:y]))
-            out.append(([xs[x]], [ys[y]]))
-            i, j = x + 1, y + 1
-        work.append((xs[i:], ys[j:]))
-    return out
-
-
-def _next_of_kind(xs: list[int], ys: list[int], of_x: list, of_y: list) -> list[tuple[int, int]]:
-    """Each of ``xs`` with the next of ``ys`` that has its kind, in order."""
-    places: dict = {}
-    for j, y in enumerate(ys):
-        places.setdefault(of_y[y][0], []).append(j)
-    pairs, at = [], 0
-    for x in xs:
-        ahead = places.get(of_x[x][0], [])
-        k = bisect_left(ahead, at)
-        if k < len(ahead):
-            pairs.append((x, ys[ahead[k]]))
-            at = ahead[k] + 1
-    return pairs
-
-
-def _common_in_order(xs: list[int], ys: list[int], of_x: list, of_y: list) -> list[tuple[int, int]]:
-    """Positions of the longest run, in order on both sides, of values that occur once on each side."""
-    count_x, count_y = Counter(of_x[x] for x in xs), Counter(of_y[y] for y in ys)
-    there = {of_y[y]: j for j, y in enumerate(ys) if count_y[of_y[y]] == 1}
-    pairs = [(i, there[of_x[x]]) for i, x in enumerate(xs) if count_x[of_x[x]] == 1 and of_x[x] in there]
-    ends: list[int] = []  # least last position of a run of each length, and who came before
-    at: list[int] = []
-    before: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        n = bisect_left(ends, j)
-        before.append(at[n - 1] if n else -1)
-        if n == len(ends):
-            ends.append(j)
-            at.append(k)
-        else:
-            ends[n], at[n] = j, k
-    run, k = [], at[-1] if at else -1
-    while k >= 0:
-        run.append(pairs[k])
-        k = before[k]
-    return run[::-1]
+    head, most = 0, min(len(left), len(right))
+    while head < most and same_a[left[head]] == same_b[right[head]]:
+        head += 1
+    tail = 0
+    while tail < most - head and same_a[left[-1 - tail]] == same_b[right[-1 - tail]]:
+        tail += 1
+    return head, tail
 
 
 def matched(model: list, page: list) -> list[tuple[int, int]]:
     """Pairs of places of a top-down, order-keeping matching of two skeletons (simple tree matching).
 
-    It is a largest one wherever two lists of children, less equal heads and tails and what lies between subtrees that are unmistakable,
-    have at most ``CELLS`` pairs; longer ones are matched in order of their kinds.
+    It is a heaviest one for lists of any length: a pair weighs 2, and 1 more if its texts are equal. Time is the product of what is left
+    of the lists when equal heads and tails are off; up to ``CELLS`` of it is done pair by pair, more in whole rows, with the same result.
     """
-    below_a, below_b = _tree(model), _tree(page)
     names: dict = {}
-    same_a, same_b = _same_trees(model, below_a, names), _same_trees(page, below_b, names)
-    parts: dict[tuple[int, int], list] = {}
+    a_side, b_side = _Side(model, names), _Side(page, names)
     known: dict[tuple[int, int], tuple[int, list]] = {}
-    todo = [(-1, -1)]
+    found, work = [], [(-1, -1)]
+    while work:
+        key = work.pop()
+        if key not in known:
+            _weigh(a_side, b_side, key, known)
+        pairs = known[key][1]
+        found.extend(pairs)
+        work.extend((x, y) for x, y in pairs if a_side.below[x] and b_side.below[y])
+    return found
+
+
+def _weigh(model: _Side, page: _Side, wanted: tuple[int, int], known: dict) -> None:
+    """Enter the weight below a pair and the pairs of its children."""
+    same_a, same_b = model.same, page.same
+
+    def below(x: int, y: int) -> int:
+        if not model.below[x] or not page.below[y]:
+            return 0
+        return 3 * (model.size[x] - 1) if same_a[x] == same_b[y] else known[x, y][0]
+
+    todo = [wanted]
     while todo:  # depth first without recursion: a pair is weighed when all pairs below it are
         a, b = key = todo[-1]
         if key in known:
             todo.pop()
             continue
-        if key not in parts:
-            left, right = below_a[a], below_b[b]
-            small = len(left) * len(right) <= CELLS
-            parts[key] = [(left, right)] if small else _aligned_by_runs(left, right, same_a, same_b, model, page)
-            open_pairs = [(x, y) for xs, ys in parts[key] for x in xs for y in ys if model[x][0] == page[y][0] and (x, y) not in known]
+        left, right = model.below[a], page.below[b]
+        head, tail = _equal_ends(left, right, same_a, same_b)
+        xs, ys = left[head : len(left) - tail], right[head : len(right) - tail]
+        if len(xs) * len(ys) > CELLS:
+            score, pairs = _best_pairs_of_rows(model, page, xs, ys)
+        else:
+            rows_a, rows_b = model.rows, page.rows
+            open_pairs = [
+                (x, y) for x in xs if model.below[x] for y in ys
+                if page.below[y] and rows_a[x][0] == rows_b[y][0] and same_a[x] != same_b[y] and (x, y) not in known
+            ]
             if open_pairs:
                 todo += open_pairs
                 continue
-        pairs = []
-        for xs, ys in parts.pop(key):
-            pairs += _best_pairs(xs, ys, model, page, known)
-        known[key] = (sum(1 + known[p][0] for p in pairs), pairs)
+            score, pairs = _best_pairs(xs, ys, rows_a, rows_b, below)
+        ends = list(zip(left[:head], right[:head])), list(zip(left[len(left) - tail :], right[len(right) - tail :]))
+        known[key] = (score + 3 * sum(model.size[x] for end in ends for x, _ in end), ends[0] + pairs + ends[1])
         todo.pop()
 
-    found, work = [], [(-1, -1)]
-    while work:
-        pairs = known[work.pop()][1]
-        found.extend(pairs)
-        work.extend(pairs)
-    return found
-
 
-def _best_pairs(left: list[int], right: list[int], model: list, page: list, known: dict) -> list[tuple[int, int]]:
-    """Heaviest order-keeping pairs of two lists of children whose subtrees are weighed."""
+def _best_pairs(left: list[int], right: list[int], model: list, page: list, below: Callable[[int, int], int]) -> tuple[int, list]:
+    """Weight and pairs of the heaviest order-keeping matching of two lists of children whose subtrees are weighed."""
     table = [[0] * (len(right) + 1)]
     gains = []
     for x in left:
@@ -328,7 +421,7 @@ def _best_pairs(left: list[int], right: list[int], model: list, page: list, know
         for j, y in enumerate(right):
             g = 0
             if model[x][0] == page[y][0]:
-                g = 2 + 2 * known[x, y][0] + (model[x][2] == page[y][2])  # equal texts decide between equal trees
+                g = 2 + below(x, y) + (model[x][2] == page[y][2])  # equal texts decide between equal trees
             gain.append(g)
             v = above[j] + g if g else 0
             row.append(max(v, above[j + 1], row[j]))
@@ -344,7 +437,7 @@ def _best_pairs(left: list[int], right: list[int], model: list, page: list, know
             i -= 1
         else:
             j -= 1
-    return pairs[::-1]
+    return table[-1][-1], pairs[::-1]
 
 
 def content_blocks(top: Node) -> list[tuple[int, str]]:

@@ -7,6 +7,7 @@ import time
 
 import pytest
 
+from songloom.llm import page_text
 from songloom.llm.page_text import content_blocks, extract_text, matched, parsed, skeleton
 
 PAGES = [
@@ -129,3 +130,48 @@ def test_template_step_equals_brute_force(spark):
     want = {i: "\n".join(t for k, t in enumerate(ts) if k not in fixed) for i, ts in texts.items()}
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extract_text(df).collect()} == want
+
+
+def heaviest(a, b):
+    """Weight of the heaviest matching, by the definition."""
+    below = lambda rows, p: [i for i, r in enumerate(rows) if r[1] == p]
+
+    def forest(xs, ys):
+        if not xs or not ys:
+            return 0
+        best = max(forest(xs[1:], ys), forest(xs, ys[1:]))
+        x, y = xs[0], ys[0]
+        if a[x][0] == b[y][0]:
+            best = max(best, 2 + (a[x][2] == b[y][2]) + forest(below(a, x), below(b, y)) + forest(xs[1:], ys[1:]))
+        return best
+
+    return forest(below(a, -1), below(b, -1))
+
+
+def test_matching_is_the_same_for_lists_of_any_length(monkeypatch):
+    rng = random.Random(11)
+
+    def tree(n):
+        return [(rng.choice("ab"), rng.randint(max(-1, i - 4), i - 1), rng.choice("xyz")) for i in range(n)]
+
+    weight = lambda a, b, pairs: sum(2 + (a[x][2] == b[y][2]) for x, y in pairs)
+    for n in [7] * 60 + [40] * 40:
+        a, b = tree(rng.randint(0, n)), tree(rng.randint(0, n))
+        found = []
+        for cells, rows in ((10_000, 500_000), (0, 500_000), (3, 1)):
+            monkeypatch.setattr(page_text, "CELLS", cells)
+            monkeypatch.setattr(page_text, "ROW_CELLS", rows)
+            found.append(sorted(matched(a, b)))
+        assert found[0] == found[1] == found[2]
+        assert n > 7 or weight(a, b, found[0]) == heaviest(a, b)
+
+
+def test_wide_lists_are_matched_as_short_ones():
+    """One subtree that both lists have, at the far ends: it is no reason to give up all other pairs."""
+    for n in (30, 900):
+        item = lambda text: f"<ul><li>{text}</li><li>x</li></ul>"
+        a = skeleton(parsed(item("both") + "".join(item(f"a{i}") for i in range(n))))
+        b = skeleton(parsed("".join(item(f"b{i}") for i in range(n)) + item("both")))
+        begun = time.time()
+        assert len(matched(a, b)) == 3 * (n + 1)
+        assert time.time() - begun < 20
