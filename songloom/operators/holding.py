@@ -118,9 +118,11 @@ def first_holders(terms: DataFrame, rows: DataFrame, keys: list[str], place: str
     """``term``, ``keys`` and the least ``place`` of the rows whose ``text`` holds the term.
 
     Rows are combined per piece before they meet terms: a term that most texts hold meets each different piece once, and
-    never the texts.
+    never the texts. Equal texts are one before that, and shuffled for it, so that taking texts apart is never left to the few tasks of a
+    small scan.
     """
-    held = pieces(rows.where("text is not null")).groupBy("kind", "piece", *keys).agg(F.min(place).alias(place))
+    different = rows.where("text is not null").groupBy("text", *keys).agg(F.min(place).alias(place))
+    held = pieces(different).groupBy("kind", "piece", *keys).agg(F.min(place).alias(place))
     held = stored(held, "pieces")
     found = splittable_join(held, met(terms, held), ["kind", "piece"])
     return found.groupBy("term", *keys).agg(F.min(place).alias(place))

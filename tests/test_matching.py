@@ -3,9 +3,11 @@ import random
 import pytest
 
 from conftest import large_tables
+from pyspark.sql import functions as F
+
 from songloom.operators.blocking import search_hits
 from songloom.operators.holding import first_holders, holders
-from songloom.operators.matching import match_bpm, match_catalogue, without_hits
+from songloom.operators.matching import catalogue_firsts, match_bpm, match_catalogue, without_hits
 
 # case: query artist, query title, hits (artist, title, bpm), expected bpm and status
 CASES = {
@@ -166,3 +168,12 @@ def test_first_holders_never_meet_texts(spark):
             if term in f"the {i % 50}":
                 wanted.setdefault((term, str(i % 7)), i)
     assert got == sorted((*k, v) for k, v in wanted.items())
+
+
+def test_firsts_of_songs_are_found_in_many_tasks(spark):
+    """A song has a row per tempo; a catalogue in one small file is no reason to make all of them in one task."""
+    songs = spark.range(0, 400, 1, 1).selectExpr("id as song_id", "concat('a', id % 4) as artist", "if(id % 5 = 0, null, concat('t', id)) as title")
+    entries = spark.range(0, 60, 1, 1).selectExpr("id", "concat('a', id % 4) as artist_name", "'x' as song_name", "string(60 + id) as bpm")
+    firsts = catalogue_firsts(songs, entries).where("pos is not null")
+    tasks = [r["count"] for r in firsts.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(tasks) == 400 * 15 and len(tasks) > 3 and max(tasks) < sum(tasks) / 2
