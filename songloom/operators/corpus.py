@@ -229,6 +229,27 @@ def encoded_windows(
     )
 
 
+def _packed(codes: np.ndarray, size: int) -> np.ndarray:
+    """One-hot rows of ``size`` cells, eight cells to a byte, the first in the highest bit; only hot cells are written.
+
+    Cells that share a byte are of neighbouring rows, at most eight of them, so they are met in as many turns.
+    """
+    cells = np.zeros(-(-len(codes) * size // 8), np.uint8)
+    place = np.arange(len(codes), dtype=np.int64) * size + codes
+    bit = np.right_shift(128, place & 7).astype(np.uint8)
+    turns = -(-8 // size) + 1 if size else 0  # a byte shows so many rows at most
+    for turn in range(turns):
+        cells[place[turn::turns] >> 3] |= bit[turn::turns]
+    return cells
+
+
+def _hot(cells: np.ndarray) -> np.ndarray:
+    """Places of the cells that are set, in any order; bytes without any are passed over."""
+    at = np.flatnonzero(cells != 0)
+    held = cells[at]
+    return np.concatenate([at[(held & (128 >> bit)) != 0] * 8 + bit for bit in range(8)])
+
+
 def one_hot_tensors(coded: DataFrame, keys: list[str], size: int, rows: int = 1024) -> DataFrame:
     """Coded windows as dense boolean tensors in shards of at most ``rows`` windows, eight cells to a byte.
 
@@ -244,15 +265,14 @@ def one_hot_tensors(coded: DataFrame, keys: list[str], size: int, rows: int = 10
                 batch = whole.slice(begin, rows)
                 n = batch.num_rows
                 codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                x = np.zeros((n, codes.shape[1], size), bool)
-                np.put_along_axis(x, codes[:, :, None], True, axis=2)
-                y = np.zeros((n, size), bool)
-                y[np.arange(n), batch.column("label").to_numpy(zero_copy_only=False)] = True
+                length = codes.shape[1]
+                x = _packed(codes.ravel(), size)
+                y = _packed(batch.column("label").to_numpy(zero_copy_only=False), size)
                 held = pa.StructArray.from_arrays([batch.column(k) for k in keys], keys)
                 listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), held)
-                cells = [pa.array([np.packbits(t).tobytes()], pa.binary()) for t in (x, y)]
+                cells = [pa.array([t.tobytes()], pa.binary()) for t in (x, y)]
                 yield pa.RecordBatch.from_arrays(
-                    [listed, pa.array([n], pa.int32()), pa.array([codes.shape[1]], pa.int32()), *cells], ["windows", "n", "length", "x", "y"]
+                    [listed, pa.array([n], pa.int32()), pa.array([length], pa.int32()), *cells], ["windows", "n", "length", "x", "y"]
                 )
 
     chosen = coded.select(*keys, "codes", "label")
@@ -271,9 +291,11 @@ def hot_counts(tensors: DataFrame, size: int) -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                x, y = tensor_of(row["x"], row["n"], row["length"], size), tensor_of(row["y"], row["n"], size)
-                counts = np.vstack([x.sum(0), y.sum(0)])
-                total[row["length"]] = total.get(row["length"], 0) + counts
+                length = row["length"]
+                x, y = (_hot(np.frombuffer(row[c], np.uint8)) for c in ("x", "y"))
+                width = length * size
+                counts = np.bincount(np.concatenate([x % width if width else x, y % size + width]), minlength=width + size)
+                total[length] = total.get(length, 0) + counts.reshape(length + 1, size)
         for counts in total.values():
             place, code = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,22 @@ def test_null_group_is_a_group(spark):
             assert [o for o, _ in mine] == list(range(0, 2 * len(mine), 2))
     windows = corpus.corpus_windows(df, "artist", length=4, step=3, chunk_rows=2).where("artist is null").count()
     assert windows == len(range(0, 18 - 4, 3))
+
+
+def test_one_hot_cells_are_written_and_counted_alone():
+    """Cells as ``packbits`` has them, without a byte per cell: a shard over many characters costs its bits, not its cells."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 3, 5, 7, 8, 9, 69, 300):
+        for n in (0, 1, 7, 500):
+            codes = rng.integers(0, size, n)
+            dense = np.zeros((n, size), bool)
+            dense[np.arange(n), codes] = True
+            assert (np.packbits(dense) == corpus._packed(codes, size)).all()
+            assert (np.sort(corpus._hot(corpus._packed(codes, size))) == np.flatnonzero(dense)).all()
+    tracemalloc.start()
+    codes = rng.integers(0, 3_000, 40 * 256)
+    assert len(corpus._hot(corpus._packed(codes, 3_000))) == len(codes)
+    assert tracemalloc.get_traced_memory()[1] < 40 * 256 * 3_000 / 2
+    tracemalloc.stop()
