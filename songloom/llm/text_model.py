@@ -357,8 +357,10 @@ def _answered(batches):
                 known.append(unpacked(blob))
                 continue
             if values is None:
-                held = pa.concat_tables(known).combine_chunks()
+                held = pa.concat_tables(known)
+                known.clear()  # one copy at a time
                 keys, values = held["key"].combine_chunks(), held["value"].combine_chunks()
+                del held
             asked = unpacked(blob)["key"].combine_chunks()
             yield _row(chunk=chunk, blob=packed(key=asked, value=values.take(pc.index_in(asked, value_set=keys))), first=True)
 
@@ -378,7 +380,9 @@ def _scored(depth: int, train_tokens: int, words: int, ends: int):
                     answers[pa.types.is_integer(table["key"].type)].append(table)
                     continue
                 if tables is None:
-                    tables = {k: pa.concat_tables(v).sort_by("key").combine_chunks() for k, v in answers.items() if v}
+                    tables, table = {}, None  # one copy at a time
+                    for k in [k for k, v in answers.items() if v]:
+                        tables[k] = pa.concat_tables(answers.pop(k)).sort_by("key").combine_chunks()
                 yield _scores(unpacked(blob).combine_chunks(), tables, logs)
 
     def _scores(docs: pa.Table, tables: dict, logs) -> pa.RecordBatch:

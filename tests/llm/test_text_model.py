@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from songloom.llm import text_model
 from songloom.llm import context_trees, text_model
 
 
@@ -130,3 +131,23 @@ def test_chances_sum_to_one():
     levels = context_trees.lifted(codes, counts, 2, 0)
     logs = context_trees.log_chances(levels, [np.ones(len(k)) for k in levels[-1].keys], [np.zeros(len(k)) for k in levels[-1].keys])
     assert np.allclose(np.exp(logs).reshape(-1, 256).sum(1), 1)
+
+
+def test_a_chunk_holds_its_answers_once():
+    """While the texts of a chunk are scored, the parts its answers came in are gone."""
+    import pyarrow as pa
+
+    depth, held = 5, []
+    own = np.concatenate([code for code, _ in text_model.codes_of([b""], depth)])
+    keys = np.unique(np.concatenate([np.random.default_rng(1).integers(0, 1 << 48, 200_000), own]))
+    first = [text_model.packed(key=pa.array(part), value=pa.array(np.full(len(part), -0.5))) for part in np.array_split(keys, 4)]
+    docs = text_model.packed(id=pa.array([1]), other=pa.array([False]), text=pa.array([""], pa.large_string()))
+
+    def batches():
+        for blob, is_first in [(b, True) for b in first] + [(docs, False)] * 3:
+            held.append(pa.total_allocated_bytes())
+            yield pa.RecordBatch.from_arrays([pa.array([7]), pa.array([blob], pa.binary()), pa.array([is_first])], ["chunk", "blob", "first"])
+
+    scores = [b.column("score")[0].as_py() for b in text_model._scored(depth, 10, 5, 2)(batches())]
+    assert scores == [-0.5] * 3
+    assert held[-1] - held[0] < 1.5 * 16 * len(keys)
