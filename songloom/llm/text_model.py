@@ -44,7 +44,11 @@ CHUNK_BYTES = 32 << 20
 BUCKET_KEYS = 1 << 21
 LEAST_BUCKETS = 32
 #: Codes weighed at once in a task, as far as whole groups allow.
-GROUP_ROWS = 1 << 18
+GROUP_ROWS = 1 << 16
+#: Bytes of text whose codes are made and looked up at once.
+PIECE_BYTES = 1 << 18
+#: Keys that wait at least before they are added to those counted.
+WAITING_KEYS = 1 << 18
 #: Texts, and blobs, per Arrow batch.
 BATCH_TEXTS = 1000
 BATCH_BLOBS = 8
@@ -72,12 +76,17 @@ def unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
 
+def _given_back() -> None:
+    """Arrow keeps what is freed for later; tasks share an executor's memory, so between steps it goes back."""
+    pa.default_memory_pool().release_unused()
+
+
 # Codes of texts.
 
 
 def codes_of(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Codes of all bytes and ends, text after text, with the number of each text; long texts in pieces."""
-    size = 2 << 20
+    size = PIECE_BYTES
     held, numbers, total = [], [], 0
     for i, text in enumerate(texts):
         whole = text + EDGE
@@ -111,20 +120,35 @@ class Counts:
     """Different keys with the number of times training texts hold them."""
 
     def __init__(self, kind: pa.DataType):
-        self.held = pa.table({"key": pa.array([], kind), "n": pa.array([], pa.int64())})
-
-    def add(self, keys: pa.Array, n: np.ndarray) -> None:
-        more = pa.table({"key": keys, "n": pa.array(n, pa.int64())})
-        self.held = self._summed(pa.concat_tables([self.held, more]))
-
-    @staticmethod
-    def _summed(table: pa.Table) -> pa.Table:
-        if pa.types.is_integer(table["key"].type):
-            keys, place = np.unique(table["key"].to_numpy(), return_inverse=True)
-            n = np.bincount(place, weights=table["n"].to_numpy(), minlength=len(keys)).astype(np.int64)
-            return pa.table({"key": keys, "n": n})
+        self.parts, self.waiting = [pa.table({"key": pa.array([], kind), "n": pa.array([], pa.int64())})], 0
+
+    def add(self, more: pa.Table) -> None:
+        """Keys wait until they are half as many as those counted, so memory and work stay in proportion to the different keys."""
+        self.parts.append(more)
+        self.waiting += len(more)
+        if self.waiting > max(WAITING_KEYS, len(self.parts[0]) // 2):
+            self.summed()
+
+    def summed(self) -> pa.Table:
+        """All keys once; numbers in order."""
+        if self.waiting:
+            table = pa.concat_tables(self.parts)
+            self.parts, self.waiting = [], 0
+            self.parts = [_summed(table)]
+            del table
+            _given_back()
+        return self.parts[0]
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    if not pa.types.is_integer(table["key"].type):
         out = table.group_by("key", use_threads=False).aggregate([("n", "sum")])
         return pa.table({"key": out["key"].combine_chunks(), "n": out["n_sum"].combine_chunks()})
+    keys = table["key"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return pa.table({"key": keys[starts], "n": np.add.reduceat(table["n"].to_numpy()[order], starts)})
 
 
 def _different(codes: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +173,9 @@ def _chunks(depth: int, chunk_bytes: int):
 
         def keys():
             for kind, counts in enumerate((codes, words)):
-                if len(counts.held):
-                    table = counts.held.sort_by("key").combine_chunks()
+                table = counts.summed()
+                if len(table):
+                    table = table.sort_by("key").combine_chunks() if kind else table
                     yield row(kind=kind, keys=packed(key=table["key"].chunk(0), n=table["n"].chunk(0)), n=len(table))
 
         for batch in steps(batches, "text"):
@@ -159,19 +184,23 @@ def _chunks(depth: int, chunk_bytes: int):
             training = ~batch.column("other").to_numpy(zero_copy_only=False)
             for code, text in codes_of(texts.cast(pa.large_binary()).to_pylist(), depth):
                 found, n = _different(code, training[text])
-                codes.add(pa.array(found), n)
+                codes.add(pa.table({"key": found, "n": n}))
             flat, starts = words_of(texts)
             coded = flat.dictionary_encode()
             held = np.bincount(
                 coded.indices.to_numpy(zero_copy_only=False), weights=np.repeat(training, np.diff(starts)), minlength=len(coded.dictionary)
             )
-            words.add(coded.dictionary.cast(pa.string()), held.astype(np.int64))
+            words.add(pa.table({"key": coded.dictionary.cast(pa.string()), "n": held.astype(np.int64)}))
             yield row(docs=packed(id=batch.column("id"), other=batch.column("other"), text=texts), n=int(training.sum()))
             size += texts.nbytes
+            del whole, texts, flat, coded
+            _given_back()
             if size >= chunk_bytes:
                 yield from keys()
                 number, size, codes, words = number + 1, 0, Counts(pa.int64()), Counts(pa.string())
         yield from keys()
+        codes = words = None
+        _given_back()
 
     return run
 
@@ -225,13 +254,10 @@ def _totals(buckets: int):
     def run(batches):
         names = ["bucket", "blob", "known", "total", "gram", "n"]
         for bucket, rows in _by_bucket(batches, "bucket", ["bucket", "blob"]):
-            counts, waiting = Counts(pa.string() if bucket >= buckets else pa.int64()), []
+            counts = Counts(pa.string() if bucket >= buckets else pa.int64())
             for _, blob in rows:
-                waiting.append(unpacked(blob))
-                if sum(map(len, waiting)) > GROUP_ROWS:
-                    counts.held = Counts._summed(pa.concat_tables([counts.held, *waiting]))
-                    waiting = []
-            table = Counts._summed(pa.concat_tables([counts.held, *waiting]))
+                counts.add(unpacked(blob))
+            table = counts.summed()
             n = table["n"].combine_chunks()
             if bucket >= buckets:
                 known, total = int((n.to_numpy() > 0).sum()), int(n.to_numpy().sum())
@@ -242,6 +268,8 @@ def _totals(buckets: int):
                 arrays = [pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), *[pa.nulls(size, pa.int64())] * 2, table["key"].combine_chunks(), n]
             kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(arrays, kinds)], names)
+            del counts, table, n, arrays
+            _given_back()
 
     return run
 
@@ -363,6 +391,9 @@ def _answered(batches):
                 del held
             asked = unpacked(blob)["key"].combine_chunks()
             yield _row(chunk=chunk, blob=packed(key=asked, value=values.take(pc.index_in(asked, value_set=keys))), first=True)
+            del asked
+        keys = values = None
+        _given_back()
 
 
 # Scores.
@@ -382,16 +413,19 @@ def _scored(depth: int, train_tokens: int, words: int, ends: int):
                 if tables is None:
                     tables, table = {}, None  # one copy at a time
                     for k in [k for k, v in answers.items() if v]:
-                        tables[k] = pa.concat_tables(answers.pop(k)).sort_by("key").combine_chunks()
+                        held = pa.concat_tables(answers.pop(k))
+                        tables[k] = (held.sort_by("key") if k else held).combine_chunks()
+                        del held
                 yield _scores(unpacked(blob).combine_chunks(), tables, logs)
+                _given_back()
 
     def _scores(docs: pa.Table, tables: dict, logs) -> pa.RecordBatch:
         texts = docs["text"].combine_chunks()
         score = np.zeros(len(docs))
-        keys, values = tables[True]["key"].combine_chunks(), tables[True]["value"].to_numpy()
+        keys, values = (tables[True][c].to_numpy() for c in ("key", "value"))
         for code, text in codes_of(texts.cast(pa.large_binary()).to_pylist(), depth):
-            at = pc.index_in(pa.array(code), value_set=keys).to_numpy()
-            score += np.bincount(text, weights=values[at], minlength=len(docs))
+            different, place = np.unique(code, return_inverse=True)
+            score += np.bincount(text, weights=values[np.searchsorted(keys, different)][place], minlength=len(docs))
         flat, starts = words_of(texts)
         count = np.zeros(0)
         if len(flat):

@@ -151,3 +151,45 @@ def test_a_chunk_holds_its_answers_once():
     scores = [b.column("score")[0].as_py() for b in text_model._scored(depth, 10, 5, 2)(batches())]
     assert scores == [-0.5] * 3
     assert held[-1] - held[0] < 1.5 * 16 * len(keys)
+
+
+def test_texts_are_worked_on_in_small_pieces(monkeypatch):
+    """Arrays made while texts are cut, weighed and scored stay small beside a table of all their codes."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    def peak(call):
+        tracemalloc.start()
+        try:
+            return call(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    depth, size = 5, 3 << 20
+    text = b"".join(b"%d-%d " % (i % 89, i % 97) for i in range(size // 6)).decode()
+    docs = [pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([False])], ["id", "text", "other"])]
+    cut, most = peak(lambda: list(text_model._chunks(depth, 32 << 20)(docs)))
+    assert most < 12 * size
+
+    blobs = {b.column("kind")[0].as_py(): b.column("keys")[0].as_py() for b in cut if b.column("keys")[0].is_valid}
+    tables = [text_model.unpacked(blobs[k]) for k in (0, 1)]
+    found, n = np.unique(np.concatenate([c for c, _ in text_model.codes_of([text.encode()], depth)]), return_counts=True)
+    assert tables[0]["key"].to_pylist() == found.tolist() and tables[0]["n"].to_pylist() == n.tolist()
+    words = Counter(text.split())
+    assert dict(zip(tables[1]["key"].to_pylist(), tables[1]["n"].to_pylist())) == words
+
+    rows = [(text_model.packed(key=t["key"].chunk(0), value=pa.array(np.full(len(t), v))), True) for t, v in zip(tables, (-0.5, 9.0))]
+    rows.append((cut[0].column("docs")[0].as_py(), False))
+    stream = [pa.RecordBatch.from_arrays([pa.array([7]), pa.array([b], pa.binary()), pa.array([f])], ["chunk", "blob", "first"]) for b, f in rows]
+    scored, most = peak(lambda: list(text_model._scored(depth, 99, 0, 2)(stream)))
+    assert most < 30 * size
+    score, known, base = (scored[0].column(c)[0].as_py() for c in ("score", "n_known", "base_score"))
+    assert (score, known) == (-0.5 * (len(text) + 1), words.total() + 1)
+    assert math.isclose(base, words.total() * math.log10(10 / 100) + math.log10(3 / 100))
