@@ -14,6 +14,8 @@ from songloom.functions.strings import WHITESPACE, characters, fill
 
 # Longest run of window starts handled in one array; longer texts become several rows.
 SEGMENT = 12_288
+# Longest run of window starts cut out of one short text, in which ``substring`` has not far to count.
+SPAN = 128
 
 
 def prompts(long: DataFrame) -> DataFrame:
@@ -57,14 +59,18 @@ def _segments(df: DataFrame, keys: list[str], text: Column, length: int, step: i
 
 
 def _windows(segments: DataFrame, keys: list[str], length: int, step: int) -> DataFrame:
-    cut = segments.select(
-        *keys, "at", F.posexplode(_overlapping("piece", length + 1, length + 1, step)).alias("_part", "_window")
+    """All windows of the segments. A match per window costs far more than one per ``SPAN`` and short substrings."""
+    size = -(-SPAN // step) * step
+    spans = segments.select(
+        *keys, "at", F.posexplode(_overlapping("piece", length + 1, size + length, size)).alias("_part", "_span")
     )
+    begins = F.sequence(F.lit(0), F.length("_span") - (length + 1), F.lit(step))
+    cut = spans.select(*keys, "at", "_part", "_span", F.explode(begins).alias("_begin"))
     return cut.select(
         *keys,
-        (F.col("at") + F.col("_part").cast("bigint") * step).alias("start"),
-        F.substring("_window", 1, length).alias("sequence"),
-        F.substring("_window", length + 1, 1).alias("next_char"),
+        (F.col("at") + F.col("_part").cast("bigint") * size + F.col("_begin")).alias("start"),
+        F.substring("_span", F.col("_begin") + 1, F.lit(length)).alias("sequence"),
+        F.substring("_span", F.col("_begin") + (length + 1), F.lit(1)).alias("next_char"),
     )
 
 

@@ -17,6 +17,9 @@ from songloom.session import new_dir
 from songloom.sources import csv, tables, text
 from songloom.streaming import incremental, resume
 
+#: Rows per file of a corpus that is written.
+CORPUS_FILE_ROWS = 8192
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -55,15 +58,15 @@ def src_lines(spark, sf_dir):
 @query
 def src_corpus(spark, sf_dir):
     path = new_dir(spark, "corpus")
-    views.documents(spark, sf_dir).select("source", F.regexp_replace("text", "\n", " ").alias("value")).repartition(
-        "source"
-    ).write.partitionBy("source").text(path)
-    lines = text.read_corpus_lines(spark, path)
-    windows = corpus.corpus_windows(lines, "path").groupBy("path").agg(F.count("*").alias("windows"))
-    whole = text.read_corpus(spark, path).select("path", F.length("text").alias("chars"))
-    return whole.join(windows, "path").groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("artist")).agg(
-        F.sum("chars").alias("chars"), F.sum("windows").alias("windows")
-    )
+    # An artist's corpus is a folder of files that each fit in memory.
+    views.spread_documents(spark, sf_dir, "source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.option(
+        "maxRecordsPerFile", CORPUS_FILE_ROWS
+    ).partitionBy("source").text(path)
+    artist = F.regexp_extract("path", "source=([^/]*)", 1)
+    lines = text.read_corpus_lines(spark, path).withColumn("artist", artist)
+    windows = corpus.corpus_windows(lines, "artist").groupBy("artist").agg(F.count("*").alias("windows"))
+    whole = text.read_corpus(spark, path).groupBy(artist.alias("artist")).agg(F.sum(F.length("text")).alias("chars"))
+    return whole.join(windows, "artist").select("artist", "chars", "windows")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songloom.functions.strings import strip
@@ -21,10 +21,16 @@ def read_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"),
-        F.lower(F.regexp_replace("value", r"\r\n?", "\n")).alias("text"),
+        F.lower(_replaced("value", r"\r\n?", "\n")).alias("text"),
     )
 
 
+def _replaced(text: str | Column, pattern: str, by: str) -> Column:
+    """``regexp_replace`` of a pattern that needs a carriage return, for texts that have one."""
+    value = F.col(text) if isinstance(text, str) else text
+    return F.when(F.contains(value, F.lit("\r")), F.regexp_replace(value, pattern, by)).otherwise(value)
+
+
 def read_corpus_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files of any size in rows ``path, row_idx, text``, which joined in order are the text of the file.
 
@@ -38,12 +44,16 @@ def read_corpus_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("_line"),
         "value",
     )
-    numbered = with_row_index(lines, ["path", "_split", "_line"])
-    ends = numbered.groupBy("path").agg(
-        F.max("row_idx").alias("row_idx"),
+    # One row per file, of which the scan's list of files holds more; lines go to no shuffle for it.
+    ends = lines.groupBy("path").agg(
+        F.max(F.struct("_split", "_line")).alias("_last"),
         (F.sum(F.octet_length("value") + 1) == F.max("_size")).alias("_ended"),
     )
-    line = F.regexp_replace(F.regexp_replace("value", r"\r\z", ""), "\r", "\n")
-    end = F.when(F.coalesce("_ended", F.lit(True)), "\n").otherwise("")
-    joined = numbered.join(ends, ["path", "row_idx"], "left")
-    return joined.select("path", "row_idx", F.lower(F.concat(line, end)).alias("text"))
+    line = _replaced(_replaced("value", r"\r\z", ""), "\r", "\n")
+    is_open = (F.struct("_split", "_line") == F.col("_last")) & ~F.col("_ended")
+    joined = lines.join(F.broadcast(ends), "path", "left")
+    # Made before rows are placed, so that it is made once for all that read them.
+    whole = joined.select(
+        "path", "_split", "_line", F.lower(F.concat(line, F.when(is_open, "").otherwise("\n"))).alias("text")
+    )
+    return with_row_index(whole, ["path", "_split", "_line"]).select("path", "row_idx", "text")

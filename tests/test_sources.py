@@ -130,3 +130,24 @@ def test_catalogue_is_written_in_order(spark, tmp_path, by):
         first.setdefault((a, t), str(i))
     wanted = [first.get((a, t)) if a and t else None for _, a, t, _ in order] if by == "name" else [str(i) if i < 40 else None for i, *_ in order]
     assert [r.bpm for r in got] == wanted
+
+
+def test_src_corpus_of_an_artist_is_many_files(spark, tmp_path, monkeypatch):
+    """No file holds all of an artist; characters and windows are those of the artist's whole text."""
+    from songloom.plans import queries
+
+    songs = [("a" if i % 10 else "b", "Zeile %d\nÄ 😀 " % i + "x" * (i % 300)) for i in range(900)] + [("a-b", "Y" * 50)]
+    spark.createDataFrame(songs, "source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "CORPUS_FILE_ROWS", 100, raising=False)
+    lengths, read = [], text.read_corpus
+
+    def watched(spark, path):
+        files = read(spark, path)
+        lengths.extend(r.text.count("\n") for r in files.collect())
+        return files
+
+    monkeypatch.setattr(text, "read_corpus", watched)
+    got = {r.artist: (r.chars, r.windows) for r in queries.src_corpus(spark, str(tmp_path)).collect()}
+    chars = {a: sum(len(t) + 1 for s, t in songs if s == a) for a in ("a", "b", "a-b")}
+    assert got == {a: (n, -((40 - n) // 3)) for a, n in chars.items()}
+    assert sum(lengths) == len(songs) and max(lengths) <= 100
