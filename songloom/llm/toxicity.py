@@ -13,8 +13,9 @@ Classifier. A logistic model of the lexicon entries and voters present in a text
 the label model; the labels of the sample then place its scores so that 0.5 separates the classes best.
 
 Labels and voters are learned from a bounded sample (``TOXIC_ROWS`` and ``CLEAN_ROWS``), chosen by hashes among the
-labelled rows that are not held out. Scores cover every word of every text; a distinct word of a batch is
-looked up once.
+labelled rows that are not held out. Its texts are counted and looked up in tasks, however long they are; the driver
+gets a few numbers and the finds of each text, and the entries that stand out. Scores cover every word of every
+text; a distinct word of a batch is looked up once.
 
 Defined cases: a null or empty text is scored like one in which nothing was found; labels that are null, or not 0
 or 1, are not learned from; a document with several labels counts with the highest; without labels only the
@@ -23,16 +24,18 @@ fixed lexicon and the patterns speak; repeated rows get the same score; an empty
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from songloom.llm.common import coded, is_held_out, steps, sums, words_of
+from songloom.llm.common import coded, hashes_of, is_held_out, ragged, steps, sums, words_of
+from songloom.session import stored
 
 #: Labelled rows of each class that are learned from at most.
 TOXIC_ROWS = 2000
@@ -45,6 +48,10 @@ INSULTS = (
 #: Word beginnings of these lengths are lexicon entries, and 0 for whole words.
 STEMS = (0, 3, 4, 5, 6, 7, 8)
 BITS = 59
+#: Weight 1 as a whole number, so that sums are exact in any order; copies of up to 30 texts divide it evenly.
+UNIT = math.lcm(*range(1, 31))
+#: Bytes of distinct words whose entries are counted at a time.
+WORD_BYTES = 1 << 20
 #: Numbers of different words with a find from which a text counts as having several.
 TIERS = (2, 4)
 MASKED = re.compile(r"[^\W\d_][*@#$]{2,}[^\W\d_]")
@@ -95,52 +102,114 @@ def sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _sample(rows: DataFrame, most: int) -> list:
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """Table of the sampled texts, numbered by ``row``; of more than ``most``, which only repeated ids make, the first."""
+
     def run(batches):
         for batch in steps(batches, "text"):
             yield sampled(batch)
 
-    return rows.mapInArrow(run, "toxic int, words long, distinct string, votes array<long>").limit(most).collect()
+    found = rows.mapInArrow(run, "toxic int, words long, distinct string, votes array<long>")
+    sample = stored(found.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
+    if sample.count() > most:
+        sample = sample.join(F.broadcast(sample.select("row").orderBy("row").limit(most)), "row")
+    return sample
+
+
+def copy_weights(sample: DataFrame, rows: list[int]) -> dict[int, int]:
+    """``UNIT`` over the number of texts that look like copies of a text: those with the same smallest-hashed rare word."""
+
+    def run(batches):
+        for batch in steps(batches, "distinct", WORD_BYTES):
+            words, starts = words_of(batch.column("distinct"))
+            codes, distinct = coded(words)
+            keys = (hashes_of(distinct) ^ np.uint64(1 << 63)).view(np.int64)  # in the order of the unsigned ones
+            row = np.repeat(batch.column("row").to_numpy(), np.diff(starts))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(keys[codes])], ["row", "word"])
+
+    held = sample.select("row", "distinct").mapInArrow(run, "row long, word long").groupBy("word").agg(F.collect_list("row").alias("rows"))
+    rare = held.where(F.size("rows") <= max(3, len(rows) // 100)).select("word", F.explode("rows").alias("row"))
+    least = {r["row"]: r["least"] for r in rare.groupBy("row").agg(F.min("word").alias("least")).collect()}
+    groups = Counter(least.values())
+    return {row: UNIT // groups[least[row]] if row in least else UNIT for row in rows}
+
+
+def entry_sums(sample: DataFrame, weight: dict[int, int], known: set[int] | None = None) -> DataFrame:
+    """``entry, n, k``: weights of the texts with an entry, and of the toxic ones among them.
+
+    Entries are whole words; with ``known``, the beginnings of the words that are not in it.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast((weight, known))  # bounded by the sample's rows and the lexicon
+
+    def run(batches):
+        weight, known = shared.value
+        for batch in steps(batches, "distinct", WORD_BYTES):
+            words, starts = words_of(batch.column("distinct"))
+            codes, distinct = coded(words)
+            every = [entries_of(w) for w in distinct.to_pylist()]
+            every = [e[:1] if known is None else e[1:] if e[0] not in known else [] for e in every]
+            lengths = np.fromiter(map(len, every), np.int64, len(every))
+            flat = np.fromiter((x for e in every for x in e), np.int64, int(lengths.sum()))
+            entry = flat[ragged((np.cumsum(lengths) - lengths)[codes], lengths[codes])]
+            text = np.repeat(np.repeat(np.arange(len(batch)), np.diff(starts)), lengths[codes])
+            order = np.lexsort((text, entry))
+            entry, text = entry[order], text[order]
+            once = np.ones(len(entry), bool)
+            once[1:] = (entry[1:] != entry[:-1]) | (text[1:] != text[:-1])
+            entry, text = entry[once], text[once]
+            if not len(entry):
+                continue
+            n = np.array([weight[row] for row in batch.column("row").to_pylist()], np.int64)
+            k = n * batch.column("toxic").to_numpy()
+            first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(entry[first]), pa.array(np.add.reduceat(n[text], first)), pa.array(np.add.reduceat(k[text], first))],
+                ["entry", "n", "k"],
+            )
 
+    found = sample.select("row", "toxic", "distinct").mapInArrow(run, "entry long, n long, k long")
+    return found.groupBy("entry").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
-def standing_out(entries: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def standing_out(counts: DataFrame, base: float) -> dict[int, float]:
     """Entries that stand out in toxic texts, and by how much.
 
     The measure is the log-likelihood ratio of the toxic share among the texts with the entry against the share
     in all texts. It must exceed the logarithm of the number of entries looked at, so that what stands out by
     chance alone is not taken in.
     """
-    if not any(map(len, entries)) or not toxic.any():
-        return np.zeros(0, np.int64), np.zeros(0)
-    every, where = np.unique(np.concatenate(entries), return_inverse=True)
-    lengths = [len(e) for e in entries]
-    n = np.bincount(where, np.repeat(weight, lengths), len(every))
-    k = np.bincount(where, np.repeat(weight * toxic, lengths), len(every))
-    base = min(max(float((weight * toxic).sum() / weight.sum()), 1e-3), 0.999)
-    share = np.clip(k / n, 1e-9, 1 - 1e-9)
-    ratio = k * np.log(share / base) + (n - k) * np.log((1 - share) / (1 - base))
-    chosen = (share > 0.6) & (k >= 2.5) & (ratio > np.log(len(every)) + 1)
-    return every[chosen], ratio[chosen]
-
-
-def copy_weights(texts: list[list[str]]) -> np.ndarray:
-    """One over the number of texts that look like copies of a text: those with the same smallest-hashed rare word."""
-    import xxhash
-
-    seen = Counter(w for words in texts for w in words)
-    rare = max(3, len(texts) // 100)
-    least = [min((xxhash.xxh3_64_intdigest(w.encode()) for w in words if seen[w] <= rare), default=i) for i, words in enumerate(texts)]
-    groups = Counter(least)
-    return np.array([1 / groups[key] for key in least])
+    counts = stored(counts, "toxicity-entries")
+    every = counts.count()
+    n, k = F.col("n") / UNIT, F.col("k") / UNIT
+    share = F.greatest(F.least(k / n, F.lit(1 - 1e-9)), F.lit(1e-9))
+    ratio = k * F.log(share / base) + (n - k) * F.log((1 - share) / (1 - base))
+    chosen = (share > 0.6) & (k >= 2.5) & (F.col("ratio") > math.log(max(every, 1)) + 1)
+    return {r["entry"]: r["ratio"] for r in counts.withColumn("ratio", ratio).where(chosen).select("entry", "ratio").collect()}
 
 
-def learned_lexicon(texts: list[list[str]], every: dict[str, np.ndarray], toxic: np.ndarray) -> dict[int, float]:
+def learned_lexicon(sample: DataFrame, marks: list[Row]) -> dict[int, float]:
     """Whole words that stand out in toxic texts, and beginnings of the words that do not stand out as such."""
-    weight = copy_weights(texts)
-    whole = [np.array([every[w][0] for w in words], np.int64) for words in texts]
-    found = dict(zip(*(x.tolist() for x in standing_out(whole, toxic, weight))))
-    rest = [np.unique(np.concatenate([every[w][1:] for w in words if every[w][0] not in found] or [whole[0][:0]])) for words in texts]
-    return found | dict(zip(*(x.tolist() for x in standing_out(rest, toxic, weight))))
+    weight = copy_weights(sample, [r["row"] for r in marks])
+    share = sum(weight[r["row"]] for r in marks if r["toxic"]) / sum(weight.values())
+    base = min(max(share, 1e-3), 0.999)
+    found = standing_out(entry_sums(sample, weight), base)
+    return found | standing_out(entry_sums(sample, weight, set(found)), base)
+
+
+def finds_of(sample: DataFrame, place: dict[int, int], strength: np.ndarray) -> DataFrame:
+    """``row, present, times``: places of the lexicon entries of a text, and how many of its words have one."""
+    shared = sample.sparkSession.sparkContext.broadcast((place, strength))
+
+    def run(batches):
+        for batch in steps(batches, "distinct", WORD_BYTES):
+            words, starts = words_of(batch.column("distinct"))
+            codes, distinct = coded(words)
+            entry = np.array([max(found_in([w], *shared.value), default=-1) for w in distinct.to_pylist()], np.int64)
+            finds = [x[x >= 0] for x in np.split(entry[codes], starts[1:-1])]
+            present, times = pa.array([np.unique(x) for x in finds], pa.list_(pa.int64())), pa.array([len(x) for x in finds], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), present, times], ["row", "present", "times"])
+
+    return sample.select("row", "distinct").mapInArrow(run, "row long, present array<long>, times long")
 
 
 def voter_of(entry: np.ndarray, fixed: np.ndarray) -> np.ndarray:
@@ -222,38 +291,35 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     chosen = marked.where(F.col("toxic") == 1).orderBy(by_hash, "id").limit(toxic_rows).unionByName(
         marked.where(F.col("toxic") == 0).orderBy(by_hash, "id").limit(clean_rows)
     )
-    sample = _sample(docs.join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).select("toxic", "text"), toxic_rows + clean_rows)
-    return fit(sample)
+    rows = docs.join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).select("toxic", "text")
+    return fit(_sample(rows, toxic_rows + clean_rows))
 
 
-def fit(sample: list) -> dict:
-    """Model from sampled rows ``toxic, words, distinct, votes``."""
-    toxic = np.array([r["toxic"] for r in sample], int)
+def fit(sample: DataFrame) -> dict:
+    """Model from a table of sampled texts ``row, toxic, words, distinct, votes``."""
+    marks = sorted(sample.select("row", "toxic", "words", "votes").collect(), key=lambda r: r["row"])
+    toxic = np.array([r["toxic"] for r in marks], int)
     fixed = np.array([entries_of(w)[0] for w in INSULTS])
-    every: dict[str, np.ndarray] = {}
-    texts = [[w for w in r["distinct"].split(" ") if w] for r in sample]
-    for word in {w for words in texts for w in words}:
-        every[word] = np.array(entries_of(word), np.int64)
-    strength = dict.fromkeys(fixed.tolist(), 1.0) | learned_lexicon(texts, every, toxic)
+    strength = dict.fromkeys(fixed.tolist(), 1.0) | (learned_lexicon(sample, marks) if marks else {})
     held = np.array(sorted(strength), np.int64)
     strength = np.array([strength[e] for e in held.tolist()])
     place = {e: i for i, e in enumerate(held.tolist())}
-    present = [np.array(sorted(found_in(words, place, strength, every.get)), np.int64) for words in texts]
+    finds = {r["row"]: (np.array(r["present"], np.int64), r["times"]) for r in finds_of(sample, place, strength).collect()} if marks else {}
+    present, times = [finds[r["row"]][0] for r in marks], [finds[r["row"]][1] for r in marks]
     lexicons = 1 + 2 * len(STEMS)
     voter = voter_of(held, fixed)
-    votes = np.full((len(sample), lexicons + 5), -1)
+    votes = np.full((len(marks), lexicons + 5), -1)
     votes[:, lexicons + 4] = toxic
     for i, row in enumerate(present):
         votes[i, voter[row]] = 1
-        votes[i, lexicons : lexicons + 3] = sample[i]["votes"]
-        if not len(row) and sample[i]["words"] >= 5:  # shorter ones are not called clean for want of a find
+        votes[i, lexicons : lexicons + 3] = marks[i]["votes"]
+        if not len(row) and marks[i]["words"] >= 5:  # shorter ones are not called clean for want of a find
             votes[i, lexicons + 3] = 0
     model = {"entries": held, "strength": strength}
-    if not len(sample):
+    if not marks:
         return model | {"weights": np.append(np.full(len(held), 3.0), [1.0] * (3 + len(TIERS))), "bias": -1.5, "cut": 0.0, "slope": 1.0}
     posterior, _ = label_model(votes, float(toxic.mean()), lexicons + 4)
     spoken = votes[:, lexicons : lexicons + 3] == 1
-    times = [sum(bool(found_in([w], place, strength, every.get)) for w in words) for words in texts]
     rows = [
         np.concatenate([row, len(held) + np.flatnonzero(v), len(held) + 3 + np.flatnonzero(n >= np.array(TIERS))]).astype(int)
         for row, v, n in zip(present, spoken, times)
@@ -266,11 +332,11 @@ def fit(sample: list) -> dict:
     return model | {"weights": weights, "bias": bias, "cut": cut, "slope": slope}
 
 
-def found_in(words: list[str], place: dict[int, int], strength: np.ndarray, entries=None) -> set[int]:
+def found_in(words: list[str], place: dict[int, int], strength: np.ndarray) -> set[int]:
     """Places of the lexicon entries of a text's words; of several entries of a word the strongest counts."""
     found = set()
     for word in words:
-        known = [place[e] for e in (entries(word).tolist() if entries else entries_of(word)) if e in place]
+        known = [place[e] for e in entries_of(word) if e in place]
         if known:
             found.add(max(known, key=lambda i: (strength[i], i)))
     return found

@@ -1,9 +1,13 @@
 """Language identification and toxicity: held-out accuracy, what is defined for odd rows, and the label model."""
 
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from songloom.llm import langid, toxicity
 from songloom.llm.queries import QUERIES
@@ -64,6 +68,63 @@ def test_toxicity_of_odd_rows(spark, docs):
     assert left.columns == odd.columns and left.count() == len(ODD) - 1
 
 
+def test_toxicity_learns_words_outside_the_driver(spark):
+    def most(words):
+        text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(words)), lambda x: F.concat_ws("w", "doc_id", x)))
+        docs = spark.range(40).withColumnRenamed("id", "doc_id").withColumn("text", text)
+        labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+        tracemalloc.start()
+        toxicity.trained(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    most(10)
+    assert most(8000) < most(200) + 2e6
+
+
+def test_toxicity_lexicon_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        words = [f"w{x}" for x in rng.zipf(1.3, 30) if x < 5000]
+        toxic = int(rng.random() < 0.2)
+        rows += [(i * 9 + c, " ".join(words + ["Zzvile!", f"grimble{rng.integers(9)}"] * toxic), toxic) for c in range(1 + 2 * (i % 50 == 0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(7)
+    got = toxicity.learned_lexicon(sample := toxicity._sample(docs, 1000), sample.select("row", "toxic").collect())
+
+    texts = [{w.strip("!").lower() for w in text.split()} for _, text, _ in rows]
+    toxic = np.array([t for _, _, t in rows])
+    seen = Counter(w for words in texts for w in words)
+    digest = lambda w: xxhash.xxh3_64_intdigest(w.encode())
+    least = [min((digest(w) for w in words if seen[w] <= max(3, len(rows) // 100)), default=("none", i)) for i, words in enumerate(texts)]
+    weight = np.array([1 / Counter(least)[x] for x in least])
+    base = (weight * toxic).sum() / weight.sum()
+
+    def brute(entries):
+        every, found = set().union(*entries), {}
+        for e in every:
+            held = np.array([e in x for x in entries])
+            n, k = (weight * held).sum(), (weight * held * toxic).sum()
+            share = min(max(k / n, 1e-9), 1 - 1e-9)
+            ratio = k * np.log(share / base) + (n - k) * np.log((1 - share) / (1 - base))
+            if share > 0.6 + 1e-9 and k >= 2.5 - 1e-9 and ratio > np.log(len(every)) + 1:
+                found[e] = ratio
+        return found
+
+    whole = brute([{toxicity.entries_of(w)[0] for w in words} for words in texts])
+    rest = brute([{e for w in words if (x := toxicity.entries_of(w))[0] not in whole for e in x[1:]} for words in texts])
+    assert whole and rest and got == pytest.approx(whole | rest)
+
+
+def test_toxicity_sample_is_bounded_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "some text")] * 9, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    rows = docs.join(labels, "doc_id")
+    assert toxicity._sample(rows, 4).count() == 4 and toxicity._sample(rows, 9).count() == 9
+    assert toxicity.toxicity(docs, labels).count() == 9
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(5)
     y = rng.random(4000) < 0.2
