@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,10 @@ from songloom.functions.strings import WHITESPACE, characters, fill
 SEGMENT = 12_288
 # Longest run of window starts cut out of one short text, in which ``substring`` has not far to count.
 SPAN = 128
+# Texts opened at once.
+TEXTS = 256
+# Bytes of cells that wait before they are added up.
+WAITING = 65_536
 
 
 def prompts(long: DataFrame) -> DataFrame:
@@ -168,13 +174,26 @@ def corpus_windows(
     return _windows(whole, [group], length, step)
 
 
+def _points(texts: list[str]) -> np.ndarray:
+    """Code points of the texts, one after the other."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+
+
 def vocabulary(df: DataFrame, text: str = "text", letters_only: bool = False) -> DataFrame:
     """Different characters of the lower-case texts, with their places in sorted order.
 
-    Characters are made different within each text before rows are multiplied. The numbering is over at
+    Characters are made different within each task, where a code point is marked when it is met. The numbering is over at
     most as many rows as Unicode has characters.
     """
-    chars = df.select(F.explode(F.array_distinct(characters(F.lower(text)))).alias("ch")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(sys.maxunicode + 1, bool)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                met[_points(batch.column(0).slice(begin, TEXTS).drop_null().to_pylist())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([chr(point) for point in np.flatnonzero(met)], pa.string())], ["ch"])
+
+    chars = df.select(F.lower(text)).mapInArrow(run, "ch string").distinct()
     if letters_only:
         chars = chars.where(F.col("ch").rlike(r"\A\p{L}\z"))
     return chars.select("ch", (F.row_number().over(Window.orderBy("ch")) - 1).alias("idx"))
@@ -214,14 +233,21 @@ def encoded_windows(
     text: str = "text",
     length: int = WINDOW_LENGTH,
     step: int = WINDOW_STEP,
+    runs: bool = False,
 ) -> DataFrame:
     """Windows as arrays of character codes with the code of the next character (one-hot, kept sparse).
 
     Each text is coded once, by hash lookup, and windows are slices of the codes. Every character must
     be in the vocabulary.
+
+    With ``runs``, windows that follow each other stay one row, so the codes they share are held once: ``start`` is that of
+    the first of them, ``codes`` is a text whose characters tell the codes (see ``_opened``). Texts without a window have none.
     """
     size = -(-SEGMENT // step) * step
     whole = _segments(df, keys, F.lower(text), length, step, F.lit(0).cast("bigint"))
+    if runs:
+        held = whole.where(F.length("piece") > length)
+        return held.select(*keys, F.col("at").alias("start"), F.translate("piece", *_code_table(vocab)).alias("codes"))
     coded = whole.select(*keys, "at", _codes(F.col("piece"), _code_table(vocab)).alias("_codes"))
     last = F.least(F.size("_codes") - length, F.lit(size)) - 1
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
@@ -256,32 +282,64 @@ def _hot(cells: np.ndarray) -> np.ndarray:
     return np.concatenate([at[(held & (128 >> bit)) != 0] * 8 + bit for bit in range(8)])
 
 
-def one_hot_tensors(coded: DataFrame, keys: list[str], size: int, rows: int = 1024) -> DataFrame:
+def _opened(runs: pa.RecordBatch, keys: list[str], length: int, step: int) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """Windows of runs: their keys, the codes of all runs, and where in them each window begins."""
+    texts = runs.column("codes").to_pylist()
+    points = _points(texts).astype(np.int64)
+    codes = points - np.where(points > 0xD800, 0x801, 1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = np.maximum(-(-(sizes - length) // step), 0)
+    of = np.repeat(np.arange(len(texts)), counts)
+    on = (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    at = (np.cumsum(sizes) - sizes)[of] + on
+    held = [runs.column(k).take(pa.array(of)) for k in keys]
+    return [pa.array(h.to_numpy() + on) if k == "start" else h for k, h in zip(keys, held)], codes, at
+
+
+def _cut(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, length: int, step: int) -> Iterator[tuple]:
+    """Keys, codes and next codes of at most ``rows`` windows at a time."""
+    for whole in batches:
+        if "label" in whole.schema.names:
+            for begin in range(0, whole.num_rows, rows):
+                batch = whole.slice(begin, rows)
+                codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield [batch.column(k) for k in keys], codes, batch.column("label").to_numpy(zero_copy_only=False)
+            continue
+        for begin in range(0, whole.num_rows, TEXTS):
+            held, codes, at = _opened(whole.slice(begin, TEXTS), keys, length, step)
+            for first in range(0, len(at), rows):
+                cut = np.lib.stride_tricks.sliding_window_view(codes, length + 1)[at[first : first + rows]]
+                yield [h.slice(first, rows) for h in held], cut[:, :length], cut[:, length]
+
+
+def _one_value(cells: np.ndarray) -> pa.Array:
+    """Cells as the only value of an array, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(cells)], np.int32)), pa.py_buffer(cells)])
+
+
+def one_hot_tensors(
+    coded: DataFrame, keys: list[str], size: int, rows: int = 1024, length: int = WINDOW_LENGTH, step: int = WINDOW_STEP
+) -> DataFrame:
     """Coded windows as dense boolean tensors in shards of at most ``rows`` windows, eight cells to a byte.
 
     A shard has the ``keys`` of its windows in order, their number ``n`` and ``length``, the cells ``x`` of n windows by length
     places by ``size`` characters, and ``y`` of n by ``size``. ``tensor_of`` opens them. A shard is made from rows as they
-    stand: no shuffle, and memory is bound by ``rows``.
+    stand: no shuffle, and memory is bound by ``rows``. Runs of windows are opened here, at ``length`` and ``step``: a row per
+    window costs more on its way out of the JVM than all that is done with it.
     """
     named = [f"{k} {coded.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, rows):
-                batch = whole.slice(begin, rows)
-                n = batch.num_rows
-                codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                length = codes.shape[1]
-                x = _packed(codes.ravel(), size)
-                y = _packed(batch.column("label").to_numpy(zero_copy_only=False), size)
-                held = pa.StructArray.from_arrays([batch.column(k) for k in keys], keys)
-                listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), held)
-                cells = [pa.array([t.tobytes()], pa.binary()) for t in (x, y)]
-                yield pa.RecordBatch.from_arrays(
-                    [listed, pa.array([n], pa.int32()), pa.array([length], pa.int32()), *cells], ["windows", "n", "length", "x", "y"]
-                )
-
-    chosen = coded.select(*keys, "codes", "label")
+        for columns, codes, labels in _cut(batches, keys, rows, length, step):
+            n, places = codes.shape
+            held = pa.StructArray.from_arrays(columns, keys)
+            listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), held)
+            cells = [_one_value(_packed(t, size)) for t in (codes.ravel(), labels)]
+            yield pa.RecordBatch.from_arrays(
+                [listed, pa.array([n], pa.int32()), pa.array([places], pa.int32()), *cells], ["windows", "n", "length", "x", "y"]
+            )
+
+    chosen = coded.select(*dict.fromkeys([*keys, "codes", *(c for c in ("label",) if c in coded.columns)]))
     return chosen.mapInArrow(run, f"windows array<struct<{', '.join(n.replace(' ', ':', 1) for n in named)}>>, n int, length int, x binary, y binary")
 
 
@@ -290,19 +348,55 @@ def tensor_of(cells: bytes, *shape: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(cells, np.uint8), count=int(np.prod(shape))).reshape(shape).astype(bool)
 
 
+def _add_cells(levels: list[np.ndarray], cells: np.ndarray, row: int) -> None:
+    """Add rows of ``row`` cells up, all cells of a byte at once: a row that stands at level k counts 2**k times.
+
+    Three rows of a level become one there and one of what is carried to the next. Rows that end within a byte are taken
+    several at a time.
+    """
+    width = row // math.gcd(row, 8)
+    if len(cells) % width:
+        cells = np.concatenate([cells, np.zeros(-len(cells) % width, np.uint8)])
+    least = max(WAITING // width, 32)
+    rows = cells.reshape(-1, width)
+    level = 0
+    while len(rows):
+        if level == len(levels):
+            levels.append(rows[:0])
+        waiting, carried = levels[level], [rows[:0]]
+        while len(rows) + len(waiting) >= least:
+            third = len(rows) // 3
+            a, b, c = (rows[third * i : third * (i + 1)] for i in range(3))
+            carry, odd = a & b, a ^ b
+            carry |= odd & c
+            odd ^= c
+            carried.append(carry)
+            rows, waiting = np.concatenate([odd, rows[3 * third :], waiting]), rows[:0]
+        levels[level], rows = np.concatenate([waiting, rows]), np.concatenate(carried)
+        level += 1
+
+
+def _cell_counts(levels: list[np.ndarray], row: int) -> np.ndarray:
+    """How often each of the ``row`` cells was set."""
+    counts = np.zeros(row, np.int64)
+    for level, rows in enumerate(levels):
+        for cells in rows:
+            counts += np.bincount(_hot(cells) % row, minlength=row) << level
+    return counts
+
+
 def hot_counts(tensors: DataFrame, size: int) -> DataFrame:
     """How many windows have which code at which ``place``; the next character stands at the place after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                length = row["length"]
-                x, y = (_hot(np.frombuffer(row[c], np.uint8)) for c in ("x", "y"))
-                width = length * size
-                counts = np.bincount(np.concatenate([x % width if width else x, y % size + width]), minlength=width + size)
-                total[length] = total.get(length, 0) + counts.reshape(length + 1, size)
-        for counts in total.values():
+            for length, *shard in zip(batch.column("length").to_pylist(), batch.column("x"), batch.column("y")):
+                for levels, cells, row in zip(total.setdefault(length, ([], [])), shard, (length * size, size)):
+                    if row:
+                        _add_cells(levels, np.frombuffer(cells.as_buffer(), np.uint8), row)
+        for length, (x, y) in total.items():
+            counts = np.concatenate([_cell_counts(x, length * size), _cell_counts(y, size)]).reshape(length + 1, size)
             place, code = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(place.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(counts[place, code].astype(np.int64))],

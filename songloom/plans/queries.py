@@ -13,7 +13,7 @@ from songloom.operators import aggregates as agg
 from songloom.operators import blocking, corpus, joins, matching, merging, ordering, sampling, selection
 from songloom.operators import pages as web
 from songloom.plans import views
-from songloom.session import new_dir
+from songloom.session import new_dir, stored
 from songloom.sources import csv, tables, text
 from songloom.streaming import incremental, resume
 
@@ -583,9 +583,10 @@ def txt_encode(spark, sf_dir):
 def txt_onehot(spark, sf_dir):
     """Dense tensors of all windows, added up over the windows."""
     docs = views.spread_documents(spark, sf_dir, "doc_id", "text")
-    vocab = corpus.vocabulary(docs)
-    size = vocab.count()  # at most as many as Unicode has characters
-    tensors = corpus.one_hot_tensors(corpus.encoded_windows(docs, ["doc_id"], vocab), ["doc_id", "start"], size)
+    vocab = stored(corpus.vocabulary(docs), "vocabulary")  # at most as many as Unicode has characters
+    size = vocab.count()
+    coded = corpus.encoded_windows(docs, ["doc_id"], vocab, runs=True)
+    tensors = corpus.one_hot_tensors(coded, ["doc_id", "start"], size)
     return corpus.hot_counts(tensors, size)
 
 

@@ -201,3 +201,73 @@ def test_one_hot_cells_are_written_and_counted_alone():
     assert len(corpus._hot(corpus._packed(codes, 3_000))) == len(codes)
     assert tracemalloc.get_traced_memory()[1] < 40 * 256 * 3_000 / 2
     tracemalloc.stop()
+
+
+def test_runs_of_windows_make_the_tensors_that_rows_make(spark, monkeypatch):
+    """Windows that follow each other leave the JVM as one row per text, and are opened with their keys where tensors are made."""
+    monkeypatch.setattr(corpus, "SEGMENT", 30)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abÉ\n\0\U0001f600 ß1퟿") for _ in range(rng.choice([0, 1, 4, 5, 6, 9, 40, 133]))) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "k long, text string").repartition(2)
+    vocab = corpus.vocabulary(docs)
+    letters = {r.idx: r.ch for r in vocab.collect()}
+    for length, step, rows in [(4, 3, 50), (1, 1, 7), (7, 2, 1024), (12, 5, 3), (3, 9, 64)]:
+        runs = corpus.encoded_windows(docs, ["k"], vocab, length=length, step=step, runs=True)
+        shards = corpus.one_hot_tensors(runs, ["k", "start"], len(letters), rows=rows, length=length, step=step)
+        got = []
+        for s in shards.collect():
+            x, y = corpus.tensor_of(s.x, s.n, length, len(letters)), corpus.tensor_of(s.y, s.n, len(letters))
+            assert s.n == len(s.windows) <= rows and s.length == length and (x.sum(2) == 1).all() and (y.sum(1) == 1).all()
+            got += [(w.k, w.start, "".join(letters[c] for c in a.argmax(1)), letters[b.argmax()]) for w, a, b in zip(s.windows, x, y)]
+        want = sorted((k, *w) for k, t in enumerate(texts) for w in expected_windows(t.lower(), length, step))
+        assert sorted(got) == want
+        assert runs.count() < len(want)
+        whole = corpus.encoded_windows(docs, ["k"], vocab, length=length, step=step)
+        counts = [corpus.hot_counts(t, len(letters)).collect() for t in (shards, corpus.one_hot_tensors(whole, ["k"], len(letters)))]
+        assert sorted(counts[0]) == sorted(counts[1]) and sum(r.n for r in counts[0]) == len(want) * (length + 1)
+
+
+def test_codes_beyond_the_surrogates_in_runs(spark):
+    many = [chr(c) for c in range(1, 0xD800)] + [chr(c) for c in range(0xE000, 0xE100)]
+    text = "".join(many).lower()
+    df = spark.createDataFrame([(text,)], "text string")
+    vocab = corpus.vocabulary(df)
+    places = {r.ch: r.idx for r in vocab.collect()}
+    batch = corpus.encoded_windows(df, [], vocab, length=5, step=1, runs=True).orderBy("start").toArrow().to_batches()[0]
+    _, codes, at = corpus._opened(batch.slice(batch.num_rows - 1), [], 5, 1)
+    assert [int(c) for c in codes[at[-1] : at[-1] + 6]] == [places[c] for c in text[-6:]]
+
+
+def test_cells_are_added_up_by_the_byte(monkeypatch):
+    """Counts as those of dense tensors, for rows that end within a byte, shards of any number of rows and many carries."""
+    rng = np.random.default_rng(4)
+    for waiting, row in [(64, 1), (64, 3), (65_536, 65), (256, 65), (64, 8), (256, 12), (256, 2600)]:
+        monkeypatch.setattr(corpus, "WAITING", waiting)
+        want, levels = np.zeros(row, np.int64), []
+        for n in [1, 7, 8, 1000, 333, 3, 64, 1024, 1024]:
+            dense = rng.random((n, row)) < rng.random(row)
+            want += dense.sum(0)
+            corpus._add_cells(levels, np.packbits(dense), row)
+        assert (corpus._cell_counts(levels, row) == want).all()
+        assert sum(rows.nbytes for rows in levels) <= len(levels) * max(waiting, 32 * row)
+
+
+def test_cells_of_a_shard_are_let_go():
+    import weakref
+
+    cells = corpus._packed(np.arange(7), 7)
+    held, seen = corpus._one_value(cells), weakref.ref(cells)
+    assert held.to_pylist() == [cells.tobytes()]
+    del held, cells
+    assert seen() is None
+
+
+def test_vocabulary_of_odd_texts(spark):
+    texts = ["", None, "a\0b", "\U0001f600\U0001f601", "İ", "ΑΣ", "ab" * 5_000, "\n "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    lowered = [r[0] for r in df.select(F.lower("text")).collect() if r[0]]
+    want = {ch: place for place, ch in enumerate(sorted({ch for t in lowered for ch in t}))}
+    vocab = corpus.vocabulary(df)
+    assert {r.ch: r.idx for r in vocab.collect()} == want
+    # A code point is marked where it is met; no row is made per character.
+    assert "Generate" not in vocab._jdf.queryExecution().executedPlan().toString()
